@@ -5,6 +5,9 @@ All of them are built-in Spark expressions.  Lengths and cuts count UTF-16 units
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from context_shaper import fixed_values as V
@@ -28,6 +31,20 @@ _BLOB_REPLACE = (
 )
 
 
+def built_once(build):
+    """Keep the expression built for given column names; large ones take long to assemble."""
+    kept: dict = {}
+
+    @wraps(build)
+    def lookup(*names: str) -> Column:
+        key = (SparkContext._jvm, *names)
+        if key not in kept:
+            kept[key] = build(*names)
+        return kept[key]
+
+    return lookup
+
+
 def bind(value: Column, use) -> Column:
     """Evaluate ``value`` once and hand it to ``use``, however often that mentions it.
 

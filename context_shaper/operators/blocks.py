@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from context_shaper.functions.text import bind, built_once
+
 # Raw fields of one block.  A field that is not a string arrives as compact JSON text.
 _BLOCK = (
     "struct<type:string,text:string,name:string,input:string,thinking:string,content:string>"
@@ -32,23 +34,24 @@ def list_elements(owner: Column, raw_content: Column) -> Column:
     Strings lose their quotes in ``raw``, so when the elements do not add up to the raw list
     some of them are strings, and only then their types are looked up.
     """
-    raws = F.from_json(owner, _LIST_CONTENT)["content"]
-    rebuilt = F.concat(F.lit("["), F.array_join(raws, ",", "null"), F.lit("]"))
-    typed = F.from_json(owner, _TYPED_CONTENT)["content"]
-    # An element of a list that mixes in strings, at position i.
-    mixed = F.transform(
-        raws,
-        lambda raw, i: F.struct(
-            raw.alias("raw"),
-            (F.schema_of_variant(F.get(typed, i)) == "STRING").alias("is_string"),
-        ),
-    )
-    plain = F.transform(
-        raws, lambda raw: F.struct(raw.alias("raw"), F.lit(False).alias("is_string"))
-    )
-    return F.when(
-        raws.isNotNull(), F.when(rebuilt == raw_content, plain).otherwise(mixed)
-    )
+    def described(raws: Column) -> Column:
+        rebuilt = F.concat(F.lit("["), F.array_join(raws, ",", "null"), F.lit("]"))
+        plain = F.transform(
+            raws, lambda raw: F.struct(raw.alias("raw"), F.lit(False).alias("is_string"))
+        )
+        mixed = bind(
+            F.from_json(owner, _TYPED_CONTENT)["content"],
+            lambda typed: F.transform(
+                raws,
+                lambda raw, i: F.struct(
+                    raw.alias("raw"),
+                    (F.schema_of_variant(F.get(typed, i)) == "STRING").alias("is_string"),
+                ),
+            ),
+        )
+        return F.when(raws.isNotNull(), F.when(rebuilt == raw_content, plain).otherwise(mixed))
+
+    return bind(F.from_json(owner, _LIST_CONTENT)["content"], described)
 
 
 def _tool_input(block: Column) -> Column:
@@ -57,14 +60,32 @@ def _tool_input(block: Column) -> Column:
 
 def _read_element(element: Column, depth: int) -> Column:
     """One list element as a struct of everything later steps ask about it."""
-    raw, is_string = element["raw"], element["is_string"]
-    block = F.when(~is_string, F.from_json(raw, _BLOCK))
+    parsed = F.struct(
+        element["raw"].alias("raw"),
+        element["is_string"].alias("is_string"),
+        F.when(~element["is_string"], F.from_json(element["raw"], _BLOCK)).alias("block"),
+    )
+
+    def with_inner(e: Column) -> Column:
+        nested = F.when(
+            e["block"]["type"] == "tool_result", list_elements(e["raw"], e["block"]["content"])
+        )
+        if depth < MAX_NESTING:
+            inner = F.transform(nested, lambda n: _read_element(n, depth + 1))
+        else:
+            inner = nested
+        return F.struct(e.alias("e"), inner.alias("inner"))
+
+    return bind(
+        parsed, lambda e: bind(with_inner(e), lambda pair: _describe(pair["e"], pair["inner"], depth))
+    )
+
+
+def _describe(element: Column, inner: Column, depth: int) -> Column:
+    raw, is_string, block = element["raw"], element["is_string"], element["block"]
     kind = block["type"]
     is_result = kind == "tool_result"
-
-    nested = list_elements(raw, block["content"])
     if depth < MAX_NESTING:
-        inner = F.transform(nested, lambda e: _read_element(e, depth + 1))
         inner_text = F.array_join(F.transform(inner, lambda b: b["text"]), "")
         inner_joined = F.array_join(F.transform(inner, lambda b: b["joined"]), "\n")
         inner_binary = F.exists(inner, lambda b: b["binary"])
@@ -72,7 +93,7 @@ def _read_element(element: Column, depth: int) -> Column:
     else:
         inner_text = inner_joined = block["content"]
         inner_binary = F.lit(False)
-        too_deep = nested.isNotNull()
+        too_deep = inner.isNotNull()
     result_text = F.coalesce(inner_text, json_text(block["content"]))
     result_joined = F.coalesce(inner_joined, json_text(block["content"]))
 
@@ -118,9 +139,10 @@ def _read_element(element: Column, depth: int) -> Column:
     )
 
 
-def read_blocks(elements: Column) -> Column:
+@built_once
+def read_blocks(elements: str) -> Column:
     """Structs (type, text, joined, call, name, binary, too_deep, survives) per element."""
-    return F.transform(elements, lambda element: _read_element(element, 1))
+    return F.transform(F.col(elements), lambda element: _read_element(element, 1))
 
 
 def last_tool_kind(blocks: Column) -> Column:
@@ -135,15 +157,26 @@ def last_tool_name(blocks: Column) -> Column:
     return F.get(named, F.size(named) - 1)["name"]
 
 
-def rewrite_frame(blocks: Column) -> Column:
+@built_once
+def rewrite_frame(blocks: str) -> Column:
     """Struct (prefix, suffix): what surrounds replaced text in the rewriter's reading.
 
     A rewrite puts new text into the first tool result or text block, empties later tool
     results, drops later text blocks and keeps the rest; without such a block it appends one.
     """
-    alive = F.filter(blocks, lambda b: b["survives"])
-    holds = F.transform(alive, lambda b: F.coalesce(b["type"].isin("tool_result", "text"), F.lit(False)))
-    at = F.array_position(holds, F.lit(True)).cast("int")
+    def split(alive: Column) -> Column:
+        holds = F.transform(
+            alive, lambda b: F.coalesce(b["type"].isin("tool_result", "text"), F.lit(False))
+        )
+        return bind(
+            F.struct(alive.alias("alive"), F.array_position(holds, F.lit(True)).cast("int").alias("at")),
+            lambda pair: _frame_around(pair["alive"], pair["at"]),
+        )
+
+    return bind(F.filter(F.col(blocks), lambda b: b["survives"]), split)
+
+
+def _frame_around(alive: Column, at: Column) -> Column:
     before = F.when(at > 0, F.slice(alive, 1, F.greatest(at - 1, F.lit(0)))).otherwise(alive)
     after = F.when(at > 0, F.slice(alive, at + 1, F.size(alive))).otherwise(F.slice(alive, 1, 0))
     kept_after = F.filter(after, lambda b: F.coalesce(b["type"] != "text", F.lit(True)))

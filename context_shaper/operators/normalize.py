@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from context_shaper import fixed_values as V
 from context_shaper.operators import blocks as B
-from context_shaper.operators.ordering import dense_positions
+from context_shaper.operators.ordering import compute_once, dense_positions
 from context_shaper.sources.documents import open_documents
 
 MESSAGES_SCHEMA = (
@@ -41,8 +41,7 @@ def kind_of(role: Column, block_kind: Column, has_calls: Column) -> Column:
 
 
 def _call_parts(calls: Column) -> Column:
-    def read(raw: Column) -> Column:
-        call = F.from_json(raw, _TOOL_CALL)
+    def read(call: Column) -> Column:
         name = F.coalesce(call["function"]["name"], call["name"])
         arguments = F.coalesce(call["function"]["arguments"], call["input"], F.lit("{}"))
         text = F.concat(
@@ -50,7 +49,7 @@ def _call_parts(calls: Column) -> Column:
         )
         return F.struct(name.alias("name"), text.alias("text"))
 
-    return F.transform(calls, read)
+    return F.transform(F.transform(calls, lambda raw: F.from_json(raw, _TOOL_CALL)), read)
 
 
 def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFrame:
@@ -58,19 +57,30 @@ def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFra
 
     ``attached_calls=False`` reads only role and content, as session transcripts require.
     """
-    opened = rows.withColumn("m", F.from_json("fragment", _MESSAGE)).withColumn(
-        "elements", B.list_elements(F.col("fragment"), F.col("m")["content"])
+    keys = ["conv_id", "pos", "msg_index", "model"]
+    carried = {name: F.col(name) for name in ("doc_format", "has_system")}
+    opened = compute_once(
+        rows, [*keys, "doc_format", "has_system", "fragment"], {"m": F.from_json("fragment", _MESSAGE)}
     )
-    read = opened.select(
-        "conv_id", "pos", "msg_index", "doc_format", "has_system", "model",
-        (F.col("msg_index") == -1).alias("is_external_system"),
-        F.col("m")["role"].alias("given_role"),
-        B.json_text(F.col("m")["content"]).alias("plain"),
-        B.read_blocks(F.col("elements")).alias("blocks"),
-        F.when(
-            F.lit(attached_calls) & (F.size(F.col("m")["tool_calls"]) > 0),
-            _call_parts(F.col("m")["tool_calls"]),
-        ).alias("calls"),
+    message = F.col("m")
+    opened = compute_once(
+        opened, keys,
+        carried | {
+            "given_role": message["role"],
+            "plain": B.json_text(message["content"]),
+            "elements": B.list_elements(F.col("fragment"), message["content"]),
+            "raw_calls": message["tool_calls"] if attached_calls else F.lit(None).cast("array<string>"),
+        },
+    )
+    read = compute_once(
+        opened, keys,
+        carried | {
+            "is_external_system": F.col("msg_index") == -1,
+            "given_role": F.col("given_role"),
+            "plain": F.col("plain"),
+            "blocks": B.read_blocks("elements"),
+            "calls": F.when(F.size("raw_calls") > 0, _call_parts(F.col("raw_calls"))),
+        },
     )
     blocks, calls = F.col("blocks"), F.col("calls")
     is_list = blocks.isNotNull()
@@ -89,7 +99,11 @@ def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFra
         F.exists(blocks, lambda b: b["type"].isin("tool_use", "tool_result")), F.lit(False)
     )
     ordinary = ~F.col("is_external_system")
-    frame = B.rewrite_frame(blocks)
+    read = compute_once(
+        read, [*keys, "doc_format", "has_system", "is_external_system", "given_role", "plain"],
+        {"blocks": blocks, "calls": calls, "frame": B.rewrite_frame("blocks")},
+    )
+    frame = F.col("frame")
     return read.select(
         "conv_id", "pos", "msg_index",
         role.alias("role"),

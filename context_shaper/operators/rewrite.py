@@ -143,6 +143,11 @@ def prepare(messages: DataFrame, options: RewriteOptions = RewriteOptions()) ->
     ).withColumn("trim_saved_1", F.when(F.col("too_long"), F.col("trim_saved_1")))
 
 
+def figures_only(prepared: DataFrame) -> DataFrame:
+    """The prepared rows without their texts: numbers, a hash, and the (short) frames."""
+    return prepared.drop("text_1", "stripped")
+
+
 def decide(prepared: DataFrame, options: RewriteOptions = RewriteOptions()) -> DataFrame:
     """decisions(conv_id, idx, first_idx, stale) for messages that depend on other messages."""
     narrow = prepared.select("conv_id", "idx", "content_key", "is_tool_result", "too_long")
@@ -185,8 +190,12 @@ def apply_decisions(
     """rewritten: one row per message with its text and figures after the first three steps.
 
     ``placed`` is the text written into the message (null when untouched) and ``text`` the
-    message as the rewriter reads it afterwards.
+    message as the rewriter reads it afterwards.  From ``figures_only`` rows the same figures
+    come out, without texts.
     """
+    for column in ("text_1", "stripped"):
+        if column not in prepared.columns:
+            prepared = prepared.withColumn(column, F.lit(None).cast("string"))
     rows = prepared.join(decisions, ["conv_id", "idx"], "left")
     repeat, stale = F.col("first_idx").isNotNull(), F.coalesce("stale", F.lit(False))
     limit = options.max_tool_result_tokens

@@ -15,6 +15,7 @@ class Optimized:
     """Lazy results of one rewriting run."""
 
     rewritten: DataFrame
+    figures: DataFrame
     points: DataFrame | None
     options: R.RewriteOptions
 
@@ -30,11 +31,11 @@ class Optimized:
 
     @property
     def changes(self) -> DataFrame:
-        return R.change_log(self.rewritten, self.points)
+        return R.change_log(self.figures, self.points)
 
     @property
     def savings(self) -> DataFrame:
-        return R.savings(self.rewritten, self.points)
+        return R.savings(self.figures, self.points)
 
     @property
     def digests(self) -> DataFrame | None:
@@ -42,22 +43,26 @@ class Optimized:
 
 
 def optimize(
-    messages: DataFrame, options: R.RewriteOptions = R.RewriteOptions(), staged: bool = False
+    messages: DataFrame, options: R.RewriteOptions = R.RewriteOptions(), staged: bool = True
 ) -> Optimized:
     """Rewrite every conversation.
 
-    With ``staged`` the decisions are written to the shared folder first.  The planner then
-    knows their size when it plans the join with the texts: small decisions are broadcast and
-    the texts are not shuffled at all, large ones fall back to a shuffle join.
+    With ``staged`` one pass over the texts writes the narrow figures table to the shared
+    folder; decisions, change log and savings come from it alone.  Decisions are staged too:
+    knowing their size, the planner broadcasts small ones, so that writing the new texts takes
+    one more pass and no shuffle of texts, and shuffles when they are large.
     """
     prepared = R.prepare(messages, options)
-    decisions = R.decide(prepared, options)
+    narrow = R.figures_only(prepared)
+    if staged:
+        narrow = stage(narrow, "figures")
+    decisions = R.decide(narrow, options)
     if staged:
         decisions = stage(decisions, "decisions")
-    rewritten = R.apply_decisions(prepared, decisions, options)
+    figures = R.apply_decisions(narrow, decisions, options)
     points = None
     if options.runs("prune-history"):
-        points = R.prune_points(rewritten, options)
+        points = R.prune_points(figures, options)
         if staged:
             points = stage(points, "prune-points")
-    return Optimized(rewritten, points, options)
+    return Optimized(R.apply_decisions(prepared, decisions, options), figures, points, options)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from context_shaper.operators.ordering import compute_once
+
 # Closes the probe list behind a body.  A body is one JSON value exactly when the list
 # ``[body, sentinel]`` has two elements and the second is the sentinel; parsing the body
 # alone would accept trailing text.
@@ -46,22 +48,27 @@ def open_documents(raw: DataFrame) -> DataFrame:
     """
     if "model" not in raw.columns:
         raw = raw.withColumn("model", F.lit(None).cast("string"))
-    typed = raw.select(
-        F.col("conv_id").cast("string").alias("conv_id"),
-        "body",
-        F.col("model").alias("given_model"),
-        F.when(
-            is_json(F.col("body")), F.regexp_extract("body", r"^[ \t\n\r]*(\S)", 1)
-        ).alias("first"),
+    body, first = F.col("body"), F.col("first")
+    typed = compute_once(
+        raw.select(F.col("conv_id").cast("string").alias("conv_id"), "body", F.col("model").alias("given_model")),
+        ["conv_id", "given_model"],
+        {
+            "body": body,
+            "first": F.when(is_json(body), F.regexp_extract(body, r"^[ \t\n\r]*(\S)", 1)),
+        },
     )
-    parsed = typed.select(
-        "*",
-        F.when(F.col("first") == "[", F.from_json("body", "array<string>", _STRICT)).alias("list"),
-        F.when(F.col("first") == "{", F.from_json("body", _SHAPE, _STRICT)).alias("doc"),
-        F.when(
-            F.col("first") == "{",
-            F.from_json("body", "struct<system:array<string>,messages:string>", _STRICT),
-        ).alias("shape"),
+    parsed = compute_once(
+        typed, ["conv_id", "given_model"],
+        {
+            "body": body,
+            "first": first,
+            "list": F.when(first == "[", F.from_json(body, "array<string>", _STRICT)),
+            "doc": F.when(first == "{", F.from_json(body, _SHAPE, _STRICT)),
+            "shape": F.when(
+                first == "{",
+                F.from_json(body, "struct<system:array<string>,messages:string>", _STRICT),
+            ),
+        },
     )
     messages, system = F.col("doc")["messages"], F.col("doc")["system"]
     raw_text = F.to_json(F.struct(F.lit("user").alias("role"), F.col("body").alias("content")))
@@ -87,21 +94,21 @@ def open_documents(raw: DataFrame) -> DataFrame:
             (F.col("first") == "{") & messages.isNull() & F.col("shape")["messages"].isNotNull(),
             "messages is not a list",
         )
-        .when(F.exists(fragments, lambda m: m.isNull()), "null message")
+        .when(F.exists(F.coalesce("list", messages), lambda m: m.isNull()), "null message")
     )
-    return parsed.select(
-        "conv_id",
-        F.coalesce("given_model", F.col("doc")["model"]).alias("model"),
-        F.col("doc")["model"].alias("body_model"),
-        F.when(F.col("first").isNull(), "text")
-        .when(F.col("first") == "[", "array")
-        .otherwise("object")
-        .alias("doc_format"),
-        F.coalesce(system.isNotNull(), F.lit(False)).alias("has_system"),
-        F.coalesce((F.col("first") == "[") | messages.isNotNull(), F.lit(False)).alias("has_list"),
-        error.alias("parse_error"),
-        F.when(error.isNull(), fragments).alias("fragments"),
+    read = compute_once(
+        parsed, ["conv_id"],
+        {
+            "model": F.coalesce("given_model", F.col("doc")["model"]),
+            "body_model": F.col("doc")["model"],
+            "doc_format": F.when(first.isNull(), "text").when(first == "[", "array").otherwise("object"),
+            "has_system": F.coalesce(system.isNotNull(), F.lit(False)),
+            "has_list": F.coalesce((first == "[") | messages.isNotNull(), F.lit(False)),
+            "parse_error": error,
+            "fragments": fragments,
+        },
     )
+    return read.withColumn("fragments", F.when(F.col("parse_error").isNull(), F.col("fragments")))
 
 
 def rejected_documents(raw: DataFrame) -> DataFrame:
