@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def epoch_ms(ts: Column) -> Column:
+    """Milliseconds since 1970 of a zone-less timestamp, whatever the session's time zone."""
+    gap = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = (
+        F.extract(F.lit("DAY"), gap) * 86_400
+        + F.extract(F.lit("HOUR"), gap) * 3_600
+        + F.extract(F.lit("MINUTE"), gap) * 60
+        + F.extract(F.lit("SECOND"), gap)
+    )
+    return F.floor(seconds * 1000).cast("bigint")
+
+
 def model_number(number: Column) -> Column:
     names = F.array(*[F.lit(name) for name in MODELS])
     return F.get(names, (number % len(MODELS)).cast("int"))
@@ -145,7 +157,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = F.col("event_type") == "purchase"
     amount = F.floor(F.col("value") * 100).cast("bigint")
     return events.select(
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        epoch_ms(F.col("ts")).alias("ts"),
         F.when(run, "optimize").otherwise("check").alias("ev"),
         F.when(~run & (F.col("event_type") != "signup"), F.lpad(F.col("user_id").cast("string"), 12, "0")).alias("sid"),
         F.when(~run, amount).alias("tok"),
@@ -163,7 +175,7 @@ def prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("event_id") * 700 - (F.col("event_id") % 7) * 9000 + F.floor(F.col("value") * 50)
     return events.select(
         F.col("user_id").cast("string").alias("session_id"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
+        epoch_ms(F.col("ts")).alias("ts"),
         F.greatest(size, F.lit(0)).cast("bigint").alias("bytes"),
         F.when(F.col("event_type") != "signup", F.greatest(size, F.lit(0)).cast("bigint") / F.lit(5))
         .cast("bigint").alias("tokens"),

@@ -331,7 +331,7 @@ def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = W.requests(spark, sf_dir)
     rows = Q.request_results(requests, Q.optimize_requests(requests))
-    return Q.request_totals(rows, ["upstream"]).withColumn("usd_saved", F.round("usd_saved", 6))
+    return Q.request_totals(rows, ["upstream"]).withColumn("usd_saved", F.round("usd_saved", 8))
 
 
 @query
@@ -354,7 +354,7 @@ def hook_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def savings_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.savings_by_family(W.ledger(spark, sf_dir)).withColumn("usd_saved", F.round("usd_saved", 6))
+    return I.savings_by_family(W.ledger(spark, sf_dir)).withColumn("usd_saved", F.round("usd_saved", 8))
 
 
 @query
@@ -454,7 +454,7 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fleet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles, sessions = session_profiles(spark, sf_dir)
     report = I.session_report(profiles, sessions, I.session_activity(W.ledger(spark, sf_dir)))
-    return I.fleet_totals(report).withColumn("waste_usd", F.round("waste_usd", 6))
+    return I.fleet_totals(report).withColumn("waste_usd", F.round("waste_usd", 8))
 
 
 # --- alerts -----------------------------------------------------------------------------------
@@ -556,7 +556,7 @@ def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     run.awaitTermination()
     rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{path}/results")
-    return Q.request_totals(rows, ["upstream"]).withColumn("usd_saved", F.round("usd_saved", 6))
+    return Q.request_totals(rows, ["upstream"]).withColumn("usd_saved", F.round("usd_saved", 8))
 
 
 @query
