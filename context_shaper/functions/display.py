@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 from context_shaper import fixed_values as V
@@ -21,8 +23,14 @@ def to_fixed(value: Column, digits: int) -> Column:
     value = value.cast("double")
     scaled = value * F.lit(float(2 ** (digits + 1)))
     tie = (scaled == F.floor(scaled)) & (F.floor(scaled) % 2 == 1)
-    nudged = F.when(tie, value + F.lit(10.0 ** -(digits + 2))).otherwise(value)
-    return F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
+    nudged = F.when(tie, value + F.lit(0.25 * 10.0**-digits)).otherwise(value)
+    usual = F.replace(F.format_number(nudged, digits), F.lit(","), F.lit(""))
+    # Below one last-place unit the answer is that unit or zero; format_number is not exact there.
+    unit, half = Decimal(1).scaleb(-digits), Decimal(5).scaleb(-digits - 1)
+    nearest = F.lit(float(half))
+    reaches = value >= nearest if Decimal(float(half)) >= half else value > nearest
+    small = F.when(reaches, str(unit)).otherwise(str(Decimal(0).scaleb(-digits)))
+    return F.when(value < F.lit(float(unit)), small).otherwise(usual)
 
 
 def format_tokens(tokens: Column) -> Column:

@@ -23,9 +23,31 @@ _TYPED_CONTENT = "struct<content:array<variant>>"
 MAX_NESTING = 2
 
 
-def json_text(raw: Column) -> Column:
-    """Text of a value that is not a list: itself, or two quotes when null or missing."""
-    return F.coalesce(raw, F.lit('""'))
+# Two escaped halves of one character, in text whose backslashes have been doubled.
+_ESCAPED_PAIR = (
+    r"(?<!\\)((?:\\{4})*)\\{2}(uD[89AB][0-9A-F]{2})\\{2}(uD[C-F][0-9A-F]{2})"
+)
+
+
+def plain_json(raw: Column) -> Column:
+    """JSON text with characters outside the BMP written as themselves.
+
+    Raw fragments spell them as two escapes.  The fragment is quoted as a JSON string in which
+    only those escapes stay live, and read back; text without them is passed on untouched.
+    """
+    quoted = F.replace(F.replace(raw, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    live = F.regexp_replace(quoted, _ESCAPED_PAIR, r"$1\\$2\\$3")
+    read = F.get(F.from_json(F.concat(F.lit('["'), live, F.lit('"]')), "array<string>"), F.lit(0))
+    return F.when(F.contains(raw, F.lit("\\uD")), read).otherwise(raw)
+
+
+def json_text(owner: Column, raw: Column) -> Column:
+    """Text of ``owner.content`` that is not a list: itself, or two quotes when null or missing."""
+    # A string may look like this too; only an object can be read as a map.
+    escaped = raw.startswith("{") & F.contains(raw, F.lit("\\uD"))
+    is_object = F.from_json(owner, "struct<content:map<string,string>>")["content"].isNotNull()
+    text = F.when(escaped, F.when(is_object, plain_json(raw)).otherwise(raw)).otherwise(raw)
+    return F.coalesce(text, F.lit('""'))
 
 
 def list_elements(owner: Column, raw_content: Column) -> Column:
@@ -55,7 +77,7 @@ def list_elements(owner: Column, raw_content: Column) -> Column:
 
 
 def _tool_input(block: Column) -> Column:
-    return F.coalesce(block["input"], F.lit("{}"))
+    return F.coalesce(plain_json(block["input"]), F.lit("{}"))
 
 
 def _read_element(element: Column, depth: int) -> Column:
@@ -94,8 +116,8 @@ def _describe(element: Column, inner: Column, depth: int) -> Column:
         inner_text = inner_joined = block["content"]
         inner_binary = F.lit(False)
         too_deep = inner.isNotNull()
-    result_text = F.coalesce(inner_text, json_text(block["content"]))
-    result_joined = F.coalesce(inner_joined, json_text(block["content"]))
+    result_text = F.coalesce(inner_text, json_text(raw, block["content"]))
+    result_joined = F.coalesce(inner_joined, json_text(raw, block["content"]))
 
     call = F.concat(
         F.lit("[tool call: "),
@@ -110,7 +132,7 @@ def _describe(element: Column, inner: Column, depth: int) -> Column:
         .when(kind.isin("image", "document"), F.concat(F.lit("["), kind, F.lit("]")))
         .when(kind == "thinking", F.coalesce(block["thinking"], F.lit("")))
         .when(kind == "redacted_thinking", F.lit("[redacted thinking]"))
-        .otherwise(F.coalesce(raw, F.lit("")))
+        .otherwise(F.coalesce(F.when(is_string, raw).otherwise(plain_json(raw)), F.lit("")))
     )
     joined = (
         F.when(is_string, raw)

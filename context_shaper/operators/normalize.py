@@ -43,7 +43,9 @@ def kind_of(role: Column, block_kind: Column, has_calls: Column) -> Column:
 def _call_parts(calls: Column) -> Column:
     def read(call: Column) -> Column:
         name = F.coalesce(call["function"]["name"], call["name"])
-        arguments = F.coalesce(call["function"]["arguments"], call["input"], F.lit("{}"))
+        arguments = F.coalesce(
+            call["function"]["arguments"], B.plain_json(call["input"]), F.lit("{}")
+        )
         text = F.concat(
             F.lit("[tool call: "), F.coalesce(name, F.lit("undefined")), F.lit("] "), arguments
         )
@@ -67,7 +69,7 @@ def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFra
         opened, keys,
         carried | {
             "given_role": message["role"],
-            "plain": B.json_text(message["content"]),
+            "plain": B.json_text(F.col("fragment"), message["content"]),
             "elements": B.list_elements(F.col("fragment"), message["content"]),
             "raw_calls": message["tool_calls"] if attached_calls else F.lit(None).cast("array<string>"),
         },
@@ -99,11 +101,7 @@ def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFra
         F.exists(blocks, lambda b: b["type"].isin("tool_use", "tool_result")), F.lit(False)
     )
     ordinary = ~F.col("is_external_system")
-    read = compute_once(
-        read, [*keys, "doc_format", "has_system", "is_external_system", "given_role", "plain"],
-        {"blocks": blocks, "calls": calls, "frame": B.rewrite_frame("blocks")},
-    )
-    frame = F.col("frame")
+    frame = B.rewrite_frame("blocks")
     return read.select(
         "conv_id", "pos", "msg_index",
         role.alias("role"),
@@ -152,7 +150,7 @@ def plain_messages(rows: DataFrame, doc_format: str = "array") -> DataFrame:
     if "model" not in rows.columns:
         rows = rows.withColumn("model", F.lit(None).cast("string"))
     role = F.coalesce("role", F.lit("user"))
-    text = B.json_text(F.col("text"))
+    text = F.coalesce("text", F.lit('""'))
     no_text = F.lit(None).cast("string")
     no = F.lit(False)
     return rows.select(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from context_shaper import fixed_values as V
 from context_shaper.functions import display as D, models as M, text as T
 from context_shaper.operators import alerts as A, findings as N, impact as I, rewrite as R, totals as S
-from context_shaper.operators.measure import measure
+from context_shaper.operators.measure import FEATURES, measure
 from context_shaper.operators.normalize import conversations, normalize
 from context_shaper.operators.writeback import rewrite_documents
 from context_shaper.plans import optimize as O, profile as P, requests as Q
@@ -46,12 +46,12 @@ def joined(numbers: Column) -> Column:
     return F.array_join(numbers.cast("array<string>"), ",")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure(W.document_messages(spark, sf_dir))
+def documents(spark: SparkSession, sf_dir: str, *features: str) -> DataFrame:
+    return measure(W.document_messages(spark, sf_dir), features or FEATURES)
 
 
-def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure(normalize(W.json_documents(spark, sf_dir)))
+def calls(spark: SparkSession, sf_dir: str, *features: str) -> DataFrame:
+    return measure(normalize(W.json_documents(spark, sf_dir)), features or FEATURES)
 
 
 def findings_view(rows: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def findings_view(rows: DataFrame) -> DataFrame:
 @query
 def tokens_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens per category per conversation over the conversations table."""
-    measured = measure(W.conversation_messages(spark, sf_dir))
+    measured = measure(W.conversation_messages(spark, sf_dir), ("tokens",))
     return S.conversation_totals(measured).select(
         "conv_id", "message_count", "total_tokens", *[f"{name}_tokens" for name in V.CATEGORIES]
     )
@@ -74,14 +74,14 @@ def tokens_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.category_shares(documents(spark, sf_dir)).select(
+    return S.category_shares(documents(spark, sf_dir, "tokens")).select(
         "conv_id", "category", "label", "tokens", F.round("share", 9).alias("share"), "share_pct", "bar"
     )
 
 
 @query
 def window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir)))
+    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir, "tokens")))
     return totals.select(
         "conv_id", "model", M.provider(F.col("model")).alias("provider"),
         M.model_family(F.col("model")).alias("family"), "source_format", "message_count", "turn_count",
@@ -91,7 +91,7 @@ def window_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def largest_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.largest_messages(documents(spark, sf_dir)).select(
+    return S.largest_messages(documents(spark, sf_dir, "tokens", "preview")).select(
         "conv_id", F.col("rank").cast("bigint").alias("rank"), "msg_index", "role", "kind", "tokens", "preview"
     )
 
@@ -172,7 +172,7 @@ def unreadable_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = findings_view(N.large_tool_results(documents(spark, sf_dir))).select("conv_id", "finding", "severity", "est_savings")
+    rows = findings_view(N.large_tool_results(documents(spark, sf_dir, "tokens"))).select("conv_id", "finding", "severity", "est_savings")
     return sinks.as_json(rows)
 
 
@@ -181,50 +181,50 @@ def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def large_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.large_tool_results(documents(spark, sf_dir)))
+    return findings_view(N.large_tool_results(documents(spark, sf_dir, "tokens")))
 
 
 @query
 def large_named_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.large_tool_results(calls(spark, sf_dir), CALLS))
+    return findings_view(N.large_tool_results(calls(spark, sf_dir, "tokens"), CALLS))
 
 
 @query
 def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.duplicate_content(stage(documents(spark, sf_dir), "measured")))
+    return findings_view(N.duplicate_content(stage(documents(spark, sf_dir, "tokens", "content_key"), "measured")))
 
 
 @query
 def repeated_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.repeated_tool_calls(stage(calls(spark, sf_dir), "measured")))
+    return findings_view(N.repeated_tool_calls(stage(calls(spark, sf_dir, "call_key"), "measured")))
 
 
 @query
 def base64_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.base64_blobs(measure(W.document_messages(spark, sf_dir, W.with_blobs()))))
+    return findings_view(N.base64_blobs(measure(W.document_messages(spark, sf_dir, W.with_blobs()), ("tokens", "has_blob"))))
 
 
 @query
 def long_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = stage(documents(spark, sf_dir), "measured")
+    measured = stage(documents(spark, sf_dir, "tokens"), "measured")
     return findings_view(N.long_histories(measured, S.conversation_totals(measured)))
 
 
 @query
 def large_system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = S.conversation_totals(calls(spark, sf_dir))
+    totals = S.conversation_totals(calls(spark, sf_dir, "tokens"))
     return findings_view(N.large_system_prompts(totals, N.Thresholds(system_tokens=500)))
 
 
 @query
 def cache_orderings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir)))
+    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir, "tokens")))
     return findings_view(N.cache_orderings(totals))
 
 
 @query
 def window_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir)))
+    totals = S.with_window_usage(S.conversation_totals(documents(spark, sf_dir, "tokens")))
     return findings_view(N.window_pressure(totals, N.Thresholds(window_warn_pct=10, window_high_pct=100)))
 
 
@@ -508,7 +508,7 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 
 @query
 def watched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = drain(watch_status(as_stream(documents(spark, sf_dir), "messages")), "watch-status")
+    status = drain(watch_status(as_stream(documents(spark, sf_dir, "tokens"), "messages")), "watch-status")
     return status.groupBy("conv_id").agg(
         F.max("total_tokens").alias("total_tokens"), F.sum("delta").alias("grown"),
         F.max("message_count").alias("message_count"), F.max("turn_count").alias("turn_count"),
@@ -517,7 +517,7 @@ def watched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def watched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = as_stream(documents(spark, sf_dir), "messages")
+    stream = as_stream(documents(spark, sf_dir, "tokens", "content_key", "has_blob"), "messages")
     names = ["conv_id", "finding", "severity", "est_savings", "message", "messages"]
     parts = [
         drain(part.select(*names), "watch-findings")
