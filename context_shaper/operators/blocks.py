@@ -19,8 +19,9 @@ _BLOCK = (
 _LIST_CONTENT = "struct<content:array<string>>"
 _TYPED_CONTENT = "struct<content:array<variant>>"
 
-# A tool result may hold blocks; a tool result inside that one is still unfolded.
-MAX_NESTING = 2
+# Tool results may hold blocks, tool results among them.  Blocks are read down to this level;
+# a list below it is taken as JSON text and the message is marked ``too_deep``.
+MAX_NESTING = 3
 
 
 # Two escaped halves of one character, in text whose backslashes have been doubled.

@@ -477,6 +477,14 @@ ORACLES: dict[str, str] = {
         sum(total_est_savings)::BIGINT AS total_waste, round(coalesce(sum(waste_usd), 0), 8) AS waste_usd FROM rep)
         SELECT *, {pct("total_waste", "total_tokens")} AS waste_pct FROM fl""",
     "deep_checks": f"WITH RECURSIVE {PROMPTS} SELECT session_id, ts, bytes, tokens, warn::INT AS warn FROM ck",
+    "alert_texts": f"""WITH RECURSIVE {PROMPTS}, {SESSIONS} SELECT session_id, ts, tokens,
+        'This session''s context is at ~' || {tokens_label("tokens")} ||
+        CASE WHEN total::DOUBLE / ({WINDOW})::DOUBLE > 0 THEN ' (' || {fixed(f"(total::DOUBLE / ({WINDOW})::DOUBLE * 100::DOUBLE)", 0)} || '% of the window)' ELSE '' END ||
+        CASE WHEN {price()} IS NOT NULL THEN ', costing ~' || {usd_label(f"(total::DOUBLE / 1e6::DOUBLE * {price()})")} || ' of input per message' ELSE '' END || '.' || {NL} ||
+        'Practice context hygiene from here on: summarize large tool results instead of keeping them verbatim, reference earlier content rather than re-reading or re-quoting it, and keep responses lean.' ||
+        CASE WHEN savings > 0 THEN {NL} || 'Largest recoverable waste: ~' || savings::BIGINT || ' (trim)' ELSE '' END ||
+        CASE WHEN tokens > 160000 THEN {NL} || 'If it fits the flow, offer the user a compaction of the older history.' ELSE '' END AS text
+        FROM (SELECT * FROM ck WHERE warn) LEFT JOIN (SELECT conv_id::VARCHAR AS session_id, model, total, savings FROM c3) USING (session_id)""",
     "streamed_deep_checks": f"WITH RECURSIVE {PROMPTS} SELECT session_id, ts, bytes, tokens, warn::INT AS warn FROM ck",
     "alert_ledger": f"WITH RECURSIVE {PROMPTS} SELECT ts, 'check' AS ev, left(session_id, 12) AS sid, tokens AS tok, warn::INT AS warn FROM ck",
     "capped_alert_state": f"""WITH RECURSIVE {PROMPTS}, la AS (SELECT session_id, max(ts) AS ts, max(bytes) AS b,
