@@ -478,7 +478,7 @@ ORACLES: dict[str, str] = {
         SELECT *, {pct("total_waste", "total_tokens")} AS waste_pct FROM fl""",
     "deep_checks": f"WITH RECURSIVE {PROMPTS} SELECT session_id, ts, bytes, tokens, warn::INT AS warn FROM ck",
     "alert_texts": f"""WITH RECURSIVE {PROMPTS}, {SESSIONS} SELECT session_id, ts, tokens,
-        'This session''s context is at ~' || {tokens_label("tokens")} ||
+        'This session''s context is at ~' || {tokens_label("tokens")} || ' tokens' ||
         CASE WHEN total::DOUBLE / ({WINDOW})::DOUBLE > 0 THEN ' (' || {fixed(f"(total::DOUBLE / ({WINDOW})::DOUBLE * 100::DOUBLE)", 0)} || '% of the window)' ELSE '' END ||
         CASE WHEN {price()} IS NOT NULL THEN ', costing ~' || {usd_label(f"(total::DOUBLE / 1e6::DOUBLE * {price()})")} || ' of input per message' ELSE '' END || '.' || {NL} ||
         'Practice context hygiene from here on: summarize large tool results instead of keeping them verbatim, reference earlier content rather than re-reading or re-quoting it, and keep responses lean.' ||
