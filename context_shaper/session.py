@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_folders: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -33,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a private one only where none is configured."""
     folder = spark.conf.get(_CHECKPOINT_KEY, None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="context-shaper-")
-        spark.conf.set(_CHECKPOINT_KEY, folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = tempfile.mkdtemp(prefix="context-shaper-")
+        folder = _own_folders[application]
     return folder.rstrip("/")
 
 

@@ -83,25 +83,18 @@ class RepeatsProcessor(StatefulProcessor):
         self._first = handle.getValueState("first", "msg_index bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = self._first.get()[0] if self._first.exists() else None
-        # Frames arrive unsorted; the smallest index of the first trigger is the first copy.
-        for frame in self._with_first(key[0], rows, first):
-            yield frame
-
-    def _with_first(
-        self, key: str, rows: Iterator[pd.DataFrame], first: int | None
-    ) -> Iterator[pd.DataFrame]:
-        frames = rows
-        if first is None:
-            frames = list(rows)
-            first = min(int(frame["msg_index"].min()) for frame in frames)
+        # Two numbers per message; the smallest index of the first trigger is the first copy.
+        copies = [(frame["msg_index"].to_numpy(), frame["tokens"].to_numpy()) for frame in rows]
+        if self._first.exists():
+            first = self._first.get()[0]
+        else:
+            first = min(int(indexes.min()) for indexes, _ in copies)
             self._first.update((first,))
-        for frame in frames:
-            later = frame[frame["msg_index"] != first]
-            repeats = pd.DataFrame({
-                "conv_id": [key] * len(later), "first_index": [first] * len(later),
-                "msg_index": later["msg_index"].tolist(), "tokens": later["tokens"].tolist(),
-            })
+        for indexes, tokens in copies:
+            later = indexes != first
+            repeats = pd.DataFrame({"msg_index": indexes[later], "tokens": tokens[later]})
+            repeats.insert(0, "first_index", first)
+            repeats.insert(0, "conv_id", key[0])
             yield plain_strings(repeats, "conv_id")
 
     def close(self) -> None:

@@ -1,5 +1,6 @@
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from context_shaper.operators import alerts as A, impact as I
 from context_shaper.operators.measure import measure
 from context_shaper.operators.normalize import normalize
 from context_shaper.plans import requests as Q
-from context_shaper.session import new_shared_path
+from context_shaper.session import new_shared_path, shared_folder
 from context_shaper.sources import ledger as L, requests as R, transcripts as C
 from context_shaper.sources.documents import read_documents
 from context_shaper.streaming.alerts import deep_check_stream
@@ -20,6 +21,15 @@ from workload.queries import drain
 LEDGER = "ts bigint, ev string, sid string, tok bigint, warn boolean, src string, saved bigint, model string, seq bigint"
 
 
+def test_shared_folder_comes_from_the_session():
+    """The configured folder is used as it is; an own one only where none is named."""
+    context = SimpleNamespace(applicationId="app-1")
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///shared/"}, sparkContext=context)
+    unnamed = SimpleNamespace(conf={}, sparkContext=context)
+    assert shared_folder(named) == "hdfs:///shared"
+    assert shared_folder(unnamed) == shared_folder(unnamed) and "context-shaper-" in shared_folder(unnamed)
+
+
 def line(kind, content, **more):
     return json.dumps({"type": kind, "message": {"role": kind, "content": content, **more}})
 
