@@ -98,15 +98,21 @@ def estimate_tokens(text: Column) -> Column:
 def collapse_whitespace(text: Column) -> Column:
     """Every whitespace run becomes one space.
 
-    Plain replacements handle text with ASCII whitespace only; the regex over the full
-    whitespace class runs just for text that can hold other whitespace characters.
+    Text that has nothing to collapse is found by two cheap searches and passed on.  Otherwise
+    plain replacements handle ASCII whitespace; the regex over the full whitespace class runs
+    just for text that can hold other whitespace characters.
     """
     spaced = text
     for character in V.ASCII_WHITESPACE[1:]:
         spaced = F.replace(spaced, F.lit(character), F.lit(" "))
-    ascii_only = F.when(
-        F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")
-    ).otherwise(spaced)
+    collapsed = bind(
+        spaced,
+        lambda value: F.when(
+            F.contains(value, F.lit("  ")), F.regexp_replace(value, " {2,}", " ")
+        ).otherwise(value),
+    )
+    nothing_to_do = ~(text.rlike(f"[{V.ASCII_WHITESPACE[1:]}]") | F.contains(text, F.lit("  ")))
+    ascii_only = F.when(nothing_to_do, text).otherwise(collapsed)
     raw = text.cast("binary")
     other_whitespace = F.lit(False)
     for prefix in V.UNICODE_WHITESPACE_BYTES:
