@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,18 +34,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is configured."""
+    """The cluster's checkpoint folder.
+
+    Only a session whose executors live in the driver's process (a local master) may go without
+    one and gets a private folder, removed when the process ends.  Elsewhere a missing setting
+    is an error: files on an executor's own disk would be invisible to the others.
+    """
     folder = spark.conf.get(_CHECKPOINT_KEY, None)
-    if not folder:
-        application = spark.sparkContext.applicationId
-        if application not in _own_folders:
-            _own_folders[application] = tempfile.mkdtemp(prefix="context-shaper-")
-        folder = _own_folders[application]
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors of {master} share")
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="context-shaper-")
+        atexit.register(shutil.rmtree, _own_folders[application], ignore_errors=True)
+    return _own_folders[application]
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/context_shaper/{spark.sparkContext.applicationId}"
 
 
 def new_shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/context_shaper/{label}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Delete everything this application has staged; results not yet written out need it."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def spread(rows: DataFrame) -> DataFrame:
