@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.ngram_join import ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,13 +40,13 @@ WITH RECURSIVE words AS (
     FROM words
 ), elements AS (
     SELECT doc_id, len(s) AS n, unnest(s) AS e FROM sets
-), overlaps AS (
+), met AS (
     SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS nu, any_value(b.n) AS nv
     FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id
         AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
     GROUP BY a.doc_id, b.doc_id
 ), links AS (
-    SELECT u, v FROM overlaps WHERE 100 * c >= 90 * (nu + nv - c)
+    SELECT u, v FROM met WHERE 100 * c >= 90 * (nu + nv - c)
 ), both_ways AS (
     SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reach(doc_id, other) AS (
@@ -57,3 +58,8 @@ SELECT d.doc_id, coalesce(len(s.s), 0) AS n_shingles, m.component_id
 FROM documents d JOIN sets s USING (doc_id)
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
 """
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")

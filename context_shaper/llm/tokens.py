@@ -41,7 +41,7 @@ def words_and_marks() -> np.ndarray:
     return classes
 
 
-def _power(base: int, size: int) -> np.ndarray:
+def power(base: int, size: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < size:
         factors = np.full(max(size, SEGMENT_BYTES + 1), base & (2**64 - 1), np.uint64)
@@ -100,9 +100,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = int(starts[first]), int(ends[last - 1])
         size = high - low
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTES[data[low:high]] * _power(_BASE, size)[:size], out=sums[1:])
+        np.cumsum(_BYTES[data[low:high]] * power(_BASE, size)[:size], out=sums[1:])
         begin, end = starts[first:last] - low, ends[first:last] - low
-        value = (sums[end] - sums[begin]) * _power(_BASE_INVERSE, size + 1)[begin]
+        value = (sums[end] - sums[begin]) * power(_BASE_INVERSE, size + 1)[begin]
         out[first:last] = mix(value + (end - begin).astype(np.uint64))
         first = last
     return out
@@ -141,6 +141,11 @@ def list_column(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def batches_of(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, size):
-        yield batch.slice(start, size)
+def by_bytes(batch: pa.RecordBatch, column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts hold about ``limit`` bytes (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    parts = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), batch.num_rows]
+    for first, last in zip(cuts[:-1], cuts[1:]):
+        if last > first:
+            yield batch.slice(first, last - first)
