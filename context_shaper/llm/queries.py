@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.ngram_join import ngram_join
+from context_shaper.llm.quality import resample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,3 +64,8 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m US
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")
