@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.ngram_join import ngram_join
 from context_shaper.llm.quality import resample
@@ -36,7 +37,7 @@ WITH RECURSIVE words AS (
     FROM documents
 ), sets AS (
     SELECT doc_id, list_distinct(CASE
-        WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+        WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
     FROM words
 ), elements AS (
@@ -69,3 +70,44 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("version")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("version")
+
+
+ORACLES["op2_decontamination"] = r"""
+WITH items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM benchmark WHERE text IS NOT NULL
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size,
+        unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS span
+    FROM items WHERE len(w) > 0
+), texts AS (
+    SELECT doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w
+    FROM documents
+), sizes AS (
+    SELECT DISTINCT size FROM windows
+), spans AS (
+    SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS first,
+        unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS span
+    FROM texts, sizes WHERE len(w) >= size
+), found AS (
+    SELECT s.doc_id, s.first, s.size, x.item_id FROM spans s JOIN windows x USING (size, span)
+), hit AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (
+        SELECT doc_id, unnest(range(first, first + size)) AS place FROM (SELECT DISTINCT doc_id, first, size FROM found))
+    GROUP BY doc_id
+), listed AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+    sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
