@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.line_dedup import line_dedup
+from context_shaper.llm.mixing import mix_plan
 from context_shaper.llm.ngram_join import ngram_join
 from context_shaper.llm.quality import resample
 
@@ -111,3 +112,8 @@ SELECT t.doc_id, len(t.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.
     sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
