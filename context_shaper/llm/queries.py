@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.mixing import mix_plan
 from context_shaper.llm.ngram_join import ngram_join
+from context_shaper.llm.personal import KINDS, find_personal
 from context_shaper.llm.quality import resample
+from context_shaper.llm.secrets_scan import RULES, scan_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +119,34 @@ FROM texts t LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position"))
+
+
+def _labels(found: str) -> Column:
+    return F.transform(found, lambda s: F.concat_ws(":", F.lit(found), s["start"], s["end"]))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [rule.name for rule in RULES]
+    versions = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = scan_versions(versions)
+    order = F.array_sort(F.flatten(F.array(*[
+        F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end")))
+        for i, kind in enumerate(kinds)
+    ])))
+    names = F.array(*[F.lit(kind) for kind in kinds])
+    listed = F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in kinds], listed.alias("spans")
+    ).select("doc_id", *[f"n_{kind}" for kind in kinds], F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(table(spark, sf_dir, "documents"))
+    base = F.flatten(F.array(*[_labels(kind) for kind in KINDS]))
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, _labels("context")), ",").alias("spans"),
+    )
