@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.mixing import mix_plan
+from context_shaper.llm.nearest import nearest_neighbours
 from context_shaper.llm.ngram_join import ngram_join
 from context_shaper.llm.personal import KINDS, find_personal
 from context_shaper.llm.quality import resample
 from context_shaper.llm.secrets_scan import RULES, scan_versions
+from context_shaper.llm.url_filter import fixed_rules, judge_urls
+from context_shaper.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,3 +153,43 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, _labels("context")), ",").alias("spans"),
     )
+
+
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = archive_round_trip(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), h AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS holder FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM h
+"""
+
+
+# The rules of the URL contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    # A page shows the document whose number its path ends with; that document's labels are the page's.
+    shown = pages.select("url", F.regexp_extract("url", r"/([0-9]{1,18})(?:[/.?#]|$)", 1).alias("n")).distinct()
+    bad = labels.select(F.col("doc_id").cast("string").alias("n"), ((F.col("quality") < 1) | (F.col("toxic") > 0)).alias("bad"))
+    labelled = shown.join(bad, "n").select("url", "bad")
+    return judge_urls(pages, fixed_rules(spark, URL_RULES), labelled)
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
