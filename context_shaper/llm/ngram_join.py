@@ -330,3 +330,15 @@ def ngram_join(documents: DataFrame, options: NgramJoin = NgramJoin()) -> DataFr
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each_group(documents: DataFrame, options: NgramJoin = NgramJoin()) -> DataFrame:
+    """The rows of documents that stay when each component keeps its smallest doc_id only.
+
+    Rows that share that doc_id all stay, and so do rows without a doc_id or without words.
+    """
+    dropped = stage(
+        ngram_join(documents, options).filter("component_id <> doc_id").select(F.col("doc_id").alias("_d")).distinct(),
+        "duplicates",
+    )
+    return documents.join(dropped, F.col("doc_id").cast("bigint") == F.col("_d"), "left_anti")
