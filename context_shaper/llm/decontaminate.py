@@ -159,6 +159,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, options: Winnowing
 def decontaminate(documents: DataFrame, benchmark: DataFrame, options: Winnowing = Winnowing()) -> DataFrame:
     """The rows of documents in which no benchmark window occurs, with all their columns."""
     tainted = contamination(documents, benchmark, options).filter("contaminated").select(
-        F.struct("doc_id", "version").alias("_doc")
+        F.struct("doc_id", "version").alias("tainted")
     ).distinct()
-    return documents.join(tainted, doc_key(F.col("doc_id"), F.col("text").cast("string")) == F.col("_doc"), "left_anti")
+    own = doc_key(documents["doc_id"], documents["text"].cast("string"))
+    return documents.join(tainted, own == tainted["tainted"], "left_anti")

@@ -228,10 +228,6 @@ def resample(documents: DataFrame, labels: DataFrame, options: Resampling = Resa
 
 def keep_good(documents: DataFrame, labels: DataFrame, options: Resampling = Resampling()) -> DataFrame:
     """The rows of documents that the draw keeps, with all their columns."""
-    kept = resample(documents, labels, options).filter("kept").select(
-        F.col("doc_id").alias("_d"), F.col("version").alias("_v")
-    ).distinct()
-    return documents.join(
-        kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d"))
-        & (F.xxhash64(F.col("text").cast("string")) == F.col("_v")), "left_semi",
-    )
+    kept = resample(documents, labels, options).filter("kept").select("doc_id", "version").distinct()
+    same = documents["doc_id"].cast("bigint").eqNullSafe(kept["doc_id"])
+    return documents.join(kept, same & (F.xxhash64(documents["text"].cast("string")) == kept["version"]), "left_semi")

@@ -84,7 +84,7 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: S
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of versions with a column for each rule, an array of its (start, end) in the text.
+    """The rows of versions, without their text, with a column for each rule: an array of its (start, end).
 
     Only the ledger's rows of these rule versions count; a version whose blob the ledger lacks has
     no findings.  Columns of versions named like a rule are replaced.
@@ -95,11 +95,16 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rul
         current = own if current is None else current | own
     found = ledger.filter(current).filter(F.size("spans") > 0).groupBy("blob").agg(*[
         F.max(F.when(F.col("rule") == rule.name, F.col("spans"))).alias(rule.name) for rule in rules
-    ]).withColumnRenamed("blob", "_blob")
+    ])
     none = F.array().cast("array<struct<start:int,end:int>>")
-    paths = versions.drop(*[rule.name for rule in rules]).withColumn("_address", content_address(F.col("text")))
-    return paths.drop("text").join(found, F.col("_address") == F.col("_blob"), "left").drop("_address", "_blob").withColumns(
-        {rule.name: F.coalesce(rule.name, none) for rule in rules}
+    names = {rule.name.lower() for rule in rules} | {"text"}
+    kept = [name for name in versions.columns if name.lower() not in names]
+    paths = versions.select(
+        F.struct(*[F.col(f"`{name}`") for name in kept]).alias("row"), content_address(F.col("text")).alias("address")
+    )
+    return paths.join(found, paths["address"] == found["blob"], "left").select(
+        *[F.col(f"row.`{name}`") for name in kept],
+        *[F.coalesce(found[rule.name], none).alias(rule.name) for rule in rules],
     )
 
 
