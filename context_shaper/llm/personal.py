@@ -88,12 +88,20 @@ def _candidates(text: Column, words: int) -> Column:
     return F.transform(spans(text, TOKEN), candidate)
 
 
-def _known(candidate: Column, found: list[Column]) -> Column:
-    """Whether a candidate overlaps a validated span."""
-    overlap = F.lit(False)
+def _meets(candidate: Column, found: list[Column], test) -> Column:
+    """Whether any validated span stands in this relation to a candidate."""
+    any_kind = F.lit(False)
     for kind in found:
-        overlap = overlap | F.exists(kind, lambda s: (s["start"] < candidate["end"]) & (candidate["start"] < s["end"]))
-    return overlap
+        any_kind = any_kind | F.exists(kind, lambda s: test(s, candidate))
+    return any_kind
+
+
+def _holds(span: Column, candidate: Column) -> Column:
+    return (span["start"] >= candidate["start"]) & (span["end"] <= candidate["end"])
+
+
+def _overlaps(span: Column, candidate: Column) -> Column:
+    return (span["start"] < candidate["end"]) & (candidate["start"] < span["end"])
 
 
 def _bootstrap(edges: DataFrame, options: Bootstrap) -> tuple[DataFrame, DataFrame]:
@@ -130,11 +138,14 @@ def find_personal(documents: DataFrame, options: Bootstrap = Bootstrap()) -> Dat
         "doc", *[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS],
         F.transform("tokens", lambda c: F.struct(
             c["start"].alias("start"), c["end"].alias("end"), c["core"].alias("core"), c["pattern"].alias("pattern"),
-            _known(c, [F.col(k) for k in KINDS]).alias("known"),
+            _meets(c, [F.col(k) for k in KINDS], _holds).alias("known"),
+            _meets(c, [F.col(k) for k in KINDS], _overlaps).alias("taken"),
         )).alias("tokens"),
     )
     marked = stage(marked, "marked")
-    tokens = marked.select("doc", F.explode("tokens").alias("t")).select("doc", "t.*").filter("pattern <> '' AND core <> ''")
+    tokens = marked.select("doc", F.explode("tokens").alias("t")).select("doc", "t.*")
+    # A token that holds a validated span is a seed; one that is a part of a span says nothing.
+    tokens = tokens.filter("pattern <> '' AND core <> '' AND (known OR NOT taken)")
     edges = stage(tokens.groupBy("pattern", "core").agg(F.max("known").alias("known")), "edges")
     accepted, learned = _bootstrap(edges, options)
     unseen = tokens.filter("NOT known")
