@@ -37,7 +37,7 @@ RULES = (
         r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", 2, 6,
     ),
     Rule("access", r"AKIA[A-Z0-9]++", 0, 20),
-    Rule("hex", r"(?:\G|(?<![0-9a-f]))[0-9a-f]++", 0, 24),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", 0, 24),  # a whole run matches, or nothing of it
 )
 
 

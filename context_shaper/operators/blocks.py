@@ -19,9 +19,8 @@ _BLOCK = (
 _LIST_CONTENT = "struct<content:array<string>>"
 _TYPED_CONTENT = "struct<content:array<variant>>"
 
-# Tool results may hold blocks, tool results among them.  Blocks are read down to this level;
-# a list below it is taken as JSON text and the message is marked ``too_deep``.
-MAX_NESTING = 3
+# Names a tool result in JSON text as it is written here; counts how deep results can be nested.
+_RESULT_NAME = '"tool_result"'
 
 
 # Two escaped halves of one character, in text whose backslashes have been doubled.
@@ -81,42 +80,63 @@ def _tool_input(block: Column) -> Column:
     return F.coalesce(plain_json(block["input"]), F.lit("{}"))
 
 
-def _read_element(element: Column, depth: int) -> Column:
+def _nested_elements(owner: Column, content: Column) -> Column:
+    """Elements of a tool result's list with results inside it replaced by their own elements.
+
+    The texts of nested results are put together like those of one long list, whatever the depth,
+    so each step opens one level and as many steps run as the text can hold levels.  A result with
+    an empty list stands for one empty string.
+    """
+    empty = F.array(F.struct(F.lit("").alias("raw"), F.lit(True).alias("is_string")))
+
+    def opened(element: Column) -> Column:
+        def inner(block: Column) -> Column:
+            inside = F.when(block["type"] == "tool_result", list_elements(element["raw"], block["content"]))
+            return bind(inside, lambda e: F.when(e.isNull(), F.array(element)).when(F.size(e) == 0, empty).otherwise(e))
+
+        may_nest = ~F.coalesce(element["is_string"], F.lit(False)) & F.contains(element["raw"], F.lit(_RESULT_NAME))
+        return F.when(may_nest, bind(F.from_json(element["raw"], _BLOCK), inner)).otherwise(F.array(element))
+
+    def level(elements: Column, _: Column) -> Column:
+        return F.flatten(F.transform(elements, opened))
+
+    names = F.length(content) - F.length(F.replace(content, F.lit(_RESULT_NAME), F.lit("")))
+    levels = (names / len(_RESULT_NAME)).cast("int")
+    nested = list_elements(owner, content)
+    return F.when(levels > 0, bind(nested, lambda e: F.aggregate(F.sequence(F.lit(1), levels), e, level))).otherwise(nested)
+
+
+def _read_element(element: Column, nested: bool = False) -> Column:
     """One list element as a struct of everything later steps ask about it."""
     parsed = F.struct(
         element["raw"].alias("raw"),
         element["is_string"].alias("is_string"),
         F.when(~element["is_string"], F.from_json(element["raw"], _BLOCK)).alias("block"),
     )
+    if nested:
+        return bind(parsed, lambda e: _describe(e, None))
 
     def with_inner(e: Column) -> Column:
-        nested = F.when(
-            e["block"]["type"] == "tool_result", list_elements(e["raw"], e["block"]["content"])
+        inside = F.when(
+            e["block"]["type"] == "tool_result", _nested_elements(e["raw"], e["block"]["content"])
         )
-        if depth < MAX_NESTING:
-            inner = F.transform(nested, lambda n: _read_element(n, depth + 1))
-        else:
-            inner = nested
+        inner = F.transform(inside, lambda n: _read_element(n, nested=True))
         return F.struct(e.alias("e"), inner.alias("inner"))
 
-    return bind(
-        parsed, lambda e: bind(with_inner(e), lambda pair: _describe(pair["e"], pair["inner"], depth))
-    )
+    return bind(parsed, lambda e: bind(with_inner(e), lambda pair: _describe(pair["e"], pair["inner"])))
 
 
-def _describe(element: Column, inner: Column, depth: int) -> Column:
+def _describe(element: Column, inner: Column | None) -> Column:
     raw, is_string, block = element["raw"], element["is_string"], element["block"]
     kind = block["type"]
     is_result = kind == "tool_result"
-    if depth < MAX_NESTING:
+    if inner is not None:
         inner_text = F.array_join(F.transform(inner, lambda b: b["text"]), "")
         inner_joined = F.array_join(F.transform(inner, lambda b: b["joined"]), "\n")
         inner_binary = F.exists(inner, lambda b: b["binary"])
-        too_deep = F.exists(inner, lambda b: b["too_deep"])
     else:
-        inner_text = inner_joined = block["content"]
+        inner_text = inner_joined = F.lit(None).cast("string")
         inner_binary = F.lit(False)
-        too_deep = inner.isNotNull()
     result_text = F.coalesce(inner_text, json_text(raw, block["content"]))
     result_joined = F.coalesce(inner_joined, json_text(raw, block["content"]))
 
@@ -157,15 +177,14 @@ def _describe(element: Column, inner: Column, depth: int) -> Column:
             | (is_result & F.coalesce(inner_binary, F.lit(False))),
             F.lit(False),
         ).alias("binary"),
-        F.coalesce(is_result & too_deep, F.lit(False)).alias("too_deep"),
         survives.alias("survives"),
     )
 
 
 @built_once
 def read_blocks(elements: str) -> Column:
-    """Structs (type, text, joined, call, name, binary, too_deep, survives) per element."""
-    return F.transform(F.col(elements), lambda element: _read_element(element, 1))
+    """Structs (type, text, joined, call, name, binary, survives) per element."""
+    return F.transform(F.col(elements), lambda element: _read_element(element))
 
 
 def last_tool_kind(blocks: Column) -> Column:

@@ -12,7 +12,7 @@ from context_shaper.sources.documents import open_documents
 MESSAGES_SCHEMA = (
     "conv_id string, pos bigint, msg_index bigint, role string, given_role string, kind string, "
     "text string, tool_name string, tool_call_text string, has_binary boolean, "
-    "has_tool_block boolean, is_tool_result boolean, too_deep boolean, content_is_list boolean, "
+    "has_tool_block boolean, is_tool_result boolean, content_is_list boolean, "
     "opt_text string, frame_prefix string, frame_suffix string, doc_format string, "
     "has_system boolean, model string"
 )
@@ -117,7 +117,6 @@ def normalize_fragments(rows: DataFrame, attached_calls: bool = True) -> DataFra
         F.coalesce(F.exists(blocks, lambda b: b["binary"]), F.lit(False)).alias("has_binary"),
         (ordinary & tool_block).alias("has_tool_block"),
         ((role == "tool") | result_block).alias("is_tool_result"),
-        F.coalesce(F.exists(blocks, lambda b: b["too_deep"]), F.lit(False)).alias("too_deep"),
         is_list.alias("content_is_list"),
         F.when(is_list, F.array_join(F.transform(blocks, lambda b: b["joined"]), "\n"))
         .otherwise(F.col("plain")).alias("opt_text"),
@@ -166,7 +165,6 @@ def plain_messages(rows: DataFrame, doc_format: str = "array") -> DataFrame:
         no.alias("has_binary"),
         no.alias("has_tool_block"),
         (role == "tool").alias("is_tool_result"),
-        no.alias("too_deep"),
         no.alias("content_is_list"),
         text.alias("opt_text"),
         F.lit("").alias("frame_prefix"),

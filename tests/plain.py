@@ -38,99 +38,112 @@ def digest(text: str) -> str:
     return hashlib.sha1(clean(text).strip(SPACE).encode()).hexdigest()
 
 
-def flat(content) -> str:
-    """The rewriter's reading of a message's content."""
-    if isinstance(content, str):
-        return content
-    if not isinstance(content, list):
-        return '""' if content is None else json.dumps(content, ensure_ascii=False, separators=(",", ":"))
-    parts = []
-    for block in content:
-        kind = block.get("type") if isinstance(block, dict) else None
-        if isinstance(block, str):
-            parts.append(block)
-        elif kind == "text":
-            parts.append(block.get("text") or "")
-        elif kind == "tool_result":
-            parts.append(flat(block.get("content")))
-        elif kind == "tool_use":
-            parts.append(json.dumps(block.get("input", {}), ensure_ascii=False, separators=(",", ":")))
-        else:
-            parts.append("")
-    return "\n".join(parts)
-
-
-def put(content, text: str):
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def kind_of(block) -> str | None:
+    return "string" if isinstance(block, str) else block.get("type") if isinstance(block, dict) else None
+
+
+# What each kind of block contributes to the rewriter's reading of a message; others add an empty line.
+READ = {
+    "string": lambda block: block,
+    "text": lambda block: block.get("text") or "",
+    "tool_use": lambda block: compact(block.get("input", {})),
+    "tool_result": lambda block: reading(block.get("content")),
+}
+
+
+def reading(content) -> str:
+    """The rewriter's reading of a message's content: a line for each block of a list."""
+    if isinstance(content, list):
+        return "\n".join(READ.get(kind_of(block), lambda _: "")(block) for block in content)
+    return content if isinstance(content, str) else '""' if content is None else compact(content)
+
+
+def with_text(content, text: str):
+    """Content after a rewrite, by the positions of its blocks.
+
+    Of the places that hold text, the first gets the new one; later results say so, later texts go.
+    """
     if not isinstance(content, list):
         return text
-    out, done = [], False
-    for block in content:
-        kind = block.get("type") if isinstance(block, dict) else None
-        if kind == "tool_result":
-            out.append(dict(block, content="[removed]" if done else text))
-            done = True
-        elif kind == "text":
-            if not done:
-                out.append(dict(block, text=text))
-            done = True
-        elif block or isinstance(block, (dict, list)):
-            out.append(block)
-    return out if done else out + [{"type": "text", "text": text}]
-
-
-def is_result(message) -> bool:
-    content = message.get("content")
-    return message.get("role") == "tool" or (
-        isinstance(content, list) and any(isinstance(b, dict) and b.get("type") == "tool_result" for b in content)
-    )
-
-
-def rewrite(messages, strategies, keep, limit, tag="context-shaper"):
-    """Sequential rewriting of one conversation: messages, before, after, changes."""
-    messages = json.loads(json.dumps(messages))
-    before = sum(tokens(flat(m.get("content"))) for m in messages)
-    changes = []
-    if "strip-base64" in strategies:
-        for i, m in enumerate(messages):
-            text = flat(m.get("content"))
-            cut = BLOB.sub(f"[{tag}: base64 blob removed — use file/image APIs instead]", text)
-            saved = tokens(text) - tokens(cut)
-            if cut != text and saved > 50:
-                m["content"] = put(m.get("content"), cut)
-                changes.append(("strip-base64", i, saved))
-    if "dedupe" in strategies:
-        seen = {}
-        for i, m in enumerate(messages):
-            text = flat(m.get("content"))
-            if units(text) < 300:
-                continue
-            first = seen.setdefault(digest(text), i)
-            if first != i:
-                m["content"] = put(m.get("content"), f"[{tag}: identical to message #{first} — content removed]")
-                changes.append(("dedupe", i, tokens(text)))
-    if "trim-tool-results" in strategies:
-        for i, m in enumerate(messages[: max(len(messages) - keep, 0)]):
-            text = flat(m.get("content"))
-            if not is_result(m) or tokens(text) <= limit:
-                continue
-            over = units(text) - 4 * limit
-            short = text if over <= 0 else head(text, 4 * limit) + f"\n…[{tag}: trimmed {over} chars of stale tool output]"
-            m["content"] = put(m.get("content"), short)
-            changes.append(("trim-tool-results", i, tokens(text) - tokens(short)))
-    if "prune-history" in strategies and len(messages) > 2 * keep:
-        start = len(messages) - keep
-        while start < len(messages) and is_result(messages[start]):
-            start += 1
-        if len(messages) - start >= 2:
-            total = sum(tokens(flat(m.get("content"))) for m in messages[:start])
-            stub = (
-                f"[{tag}: {start} earlier messages (~{total} tokens) pruned. "
-                "Replace this stub with an LLM-written summary of those turns for best results.]"
-            )
-            messages[:start] = [{"role": "user", "content": stub}]
-            changes.append(("prune-history", 0, total - tokens(stub)))
-    after = sum(tokens(flat(m.get("content"))) for m in messages)
-    return messages, before, after, changes
+    alive = [block for block in content if block or isinstance(block, (dict, list))]
+    kinds = dict(enumerate(map(kind_of, alive)))
+    results, texts = ({i for i, k in kinds.items() if k == name} for name in ("tool_result", "text"))
+    if not results | texts:
+        return [*alive, {"type": "text", "text": text}]
+    first = min(results | texts)
+    new = {i: "[removed]" for i in results} | {first: text}
+    member = {i: "content" if i in results else "text" for i in new}
+    gone = texts - {first}
+    return [{**b, member[i]: new[i]} if i in new else b for i, b in enumerate(alive) if i not in gone]
+
+
+def results_among(messages) -> set[int]:
+    """Positions of the messages that carry a tool's result."""
+    from_tools = {i for i, m in enumerate(messages) if m.get("role") == "tool"}
+    return from_tools | {
+        i for i, m in enumerate(messages)
+        if isinstance(m.get("content"), list) and "tool_result" in {kind_of(b) for b in m["content"] if isinstance(b, dict)}
+    }
+
+
+def without_blobs(texts, **_) -> dict[int, str]:
+    cut = {i: BLOB.sub(f"[{TAG}: base64 blob removed — use file/image APIs instead]", t) for i, t in texts.items()}
+    return {i: t for i, t in cut.items() if t != texts[i] and tokens(texts[i]) - tokens(t) > 50}
+
+
+def without_copies(texts, **_) -> dict[int, str]:
+    places: dict[str, set[int]] = {}
+    for i in (i for i, t in texts.items() if units(t) >= 300):
+        places.setdefault(digest(texts[i]), set()).add(i)
+    return {
+        i: f"[{TAG}: identical to message #{min(group)} — content removed]"
+        for group in places.values() for i in group - {min(group)}
+    }
+
+
+def without_stale_results(texts, results, keep, limit) -> dict[int, str]:
+    stale = {i for i in results & set(range(len(texts) - keep)) if tokens(texts[i]) > limit}
+    over = {i: units(texts[i]) - 4 * limit for i in stale}
+    note = "\n…[{}: trimmed {} chars of stale tool output]".format
+    return {i: head(texts[i], 4 * limit) + note(TAG, over[i]) if over[i] > 0 else texts[i] for i in stale}
+
+
+TAG = "context-shaper"
+EDITS = {"strip-base64": without_blobs, "dedupe": without_copies, "trim-tool-results": without_stale_results}
+
+
+def kept_from(messages, keep) -> int | None:
+    """Where the kept tail of a pruned history starts: at no result, and with two messages at least."""
+    if len(messages) <= 2 * keep:
+        return None
+    tail = set(range(len(messages) - keep, len(messages))) - results_among(messages)
+    return min(tail) if tail and len(messages) - min(tail) >= 2 else None
+
+
+def rewrite(messages, strategies, keep, limit):
+    """One conversation rewritten: messages, tokens before and after, changes (strategy, position, saved)."""
+    before, changes = sum(tokens(reading(m.get("content"))) for m in messages), []
+    for name in [name for name in EDITS if name in strategies]:
+        texts = {i: reading(m.get("content")) for i, m in enumerate(messages)}
+        new = EDITS[name](texts, results=results_among(messages), keep=keep, limit=limit)
+        # A copy's whole text counts as saved, whatever the note costs.
+        saved = {i: tokens(texts[i]) - (0 if name == "dedupe" else tokens(t)) for i, t in new.items()}
+        changes += [(name, i, saved[i]) for i in sorted(new)]
+        messages = [{**m, "content": with_text(m.get("content"), new[i])} if i in new else m for i, m in enumerate(messages)]
+    start = kept_from(messages, keep) if "prune-history" in strategies else None
+    if start is not None:
+        total = sum(tokens(reading(m.get("content"))) for m in messages[:start])
+        stub = (
+            f"[{TAG}: {start} earlier messages (~{total} tokens) pruned. "
+            "Replace this stub with an LLM-written summary of those turns for best results.]"
+        )
+        messages = [{"role": "user", "content": stub}, *messages[start:]]
+        changes.append(("prune-history", 0, total - tokens(stub)))
+    return messages, before, sum(tokens(reading(m.get("content"))) for m in messages), changes
 
 
 WORDS = ["alpha", "beta", "{x: 1}", "a_b=c;", "naïve", "日本", "😀", " ", "\n\n", "word " * 30, "QUJD" * 130]
