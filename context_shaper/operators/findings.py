@@ -215,10 +215,11 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.col("conv_id"), *report_order())
 
 
-def ranked_findings(findings: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` findings per conversation, ranked from 1."""
+def ranked_findings(findings: DataFrame, count: int | None = None) -> DataFrame:
+    """All findings per conversation, or the first ``count``, ranked from 1."""
     window = Window.partitionBy("conv_id").orderBy(*report_order())
-    return findings.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= count)
+    ranked = findings.withColumn("rank", F.row_number().over(window))
+    return ranked if count is None else ranked.filter(F.col("rank") <= count)
 
 
 def finding_totals(findings: DataFrame) -> DataFrame:

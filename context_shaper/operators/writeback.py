@@ -103,7 +103,19 @@ def place_text(content: str, text: str) -> str:
     return f"[{','.join(blocks)}]"
 
 
+def _is_document(body: str) -> bool:
+    """Whether a body is a list of messages, or an object with one; a raw text is neither."""
+    try:
+        value, end = _decode(body, _skip(body, 0))
+    except ValueError:
+        return False
+    messages = value.get("messages") if isinstance(value, dict) else value
+    return isinstance(messages, list) and _skip(body, end) == len(body)
+
+
 def _rewrite_body(body: str, changes, keep_from, stub) -> str:
+    if not _is_document(body):
+        return body
     listed = body.lstrip(" \t\n\r").startswith("[")
     first, last = (0, len(body)) if listed else _member(body, "messages")
     places, edits = _parts(body, first), []

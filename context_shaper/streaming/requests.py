@@ -1,4 +1,4 @@
-"""Requests optimized as they arrive, with running totals and ledger entries."""
+"""Requests optimized as they arrive; totals come from the written results."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from context_shaper.operators.rewrite import RewriteOptions
 from context_shaper.plans.requests import forwarded_bodies, optimize_requests, request_results
-from context_shaper.sources.ledger import optimize_entries
 
 RESULT_SCHEMA = (
     "request_id string, method string, path string, upstream string, model string, parsed boolean, "
@@ -21,10 +20,9 @@ def optimize_request_stream(
     checkpoint: str,
     options: RewriteOptions = RewriteOptions(),
     bodies_path: str | None = None,
-    ledger_path: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Optimize each micro-batch; write results (and bodies, ledger lines) per batch.
+    """Optimize each micro-batch; write results (and bodies) per batch.
 
     Every batch overwrites its own folder, so a batch that is run again leaves no doubles.
     """
@@ -35,11 +33,6 @@ def optimize_request_stream(
         rows.write.mode("overwrite").parquet(f"{results_path}/batch_id={batch_id}")
         if bodies_path:
             forwarded_bodies(batch, result).write.mode("overwrite").parquet(f"{bodies_path}/batch_id={batch_id}")
-        if ledger_path:
-            written = batch.sparkSession.read.schema(RESULT_SCHEMA).parquet(f"{results_path}/batch_id={batch_id}")
-            now = F.unix_millis(F.current_timestamp())
-            entries = optimize_entries(written, "cli", now)
-            append_batch(entries, f"{ledger_path}/batch_id={batch_id}")
 
     return (
         requests.writeStream.foreachBatch(run)
@@ -47,10 +40,3 @@ def optimize_request_stream(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def append_batch(entries: DataFrame, path: str) -> None:
-    """Ledger lines of one batch in its own folder, replaced when the batch is run again."""
-    fields = F.to_json(F.struct(*entries.columns)).alias("value")
-    entries.select(fields).write.mode("overwrite").text(path)
-

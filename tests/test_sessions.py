@@ -213,13 +213,11 @@ def test_streamed_requests_equal_batch(spark):
     schema = "request_id string, method string, path string, body string"
     path = new_shared_path(spark, "requests")
     optimize_request_stream(
-        files_of(spark, rows, schema, 3), f"{path}/results", f"{path}/checkpoint", bodies_path=f"{path}/bodies", ledger_path=f"{path}/ledger"
+        files_of(spark, rows, schema, 3), f"{path}/results", f"{path}/checkpoint", bodies_path=f"{path}/bodies"
     ).awaitTermination()
     streamed = spark.read.schema(RESULT_SCHEMA).parquet(f"{path}/results").drop("batch_id")
     batch = spark.createDataFrame(rows, schema)
     want = Q.request_results(batch, Q.optimize_requests(batch))
     assert sorted(map(str, streamed.collect())) == sorted(map(str, want.select(streamed.columns).collect()))
     assert tuple(Q.request_totals(streamed).first()) == tuple(Q.request_totals(want).first())
-    ledger = L.read_ledger(spark, f"{path}/ledger")
-    assert ledger.filter("ev = 'optimize'").agg(F.sum("saved")).first()[0] == Q.request_totals(want).first().tokens_saved
     assert spark.read.parquet(f"{path}/bodies").count() == want.count()

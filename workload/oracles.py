@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from context_shaper.fixed_values import FINDING_SUGGESTIONS
 from workload.inputs import MODELS
 
 SYMBOLS = r"""[{}\[\]()<>;:=_/\\|"''`#$%&*+^~-]"""
@@ -224,6 +225,10 @@ ALL_FINDINGS = f"""{TOTALS}, x AS (
     SELECT *, 5, 0 FROM ({LONG}) UNION ALL SELECT *, 7, 0 FROM ({CACHE}) UNION ALL
     SELECT *, 8, 0 FROM ({pressure(70, 90)}))"""
 
+ADVICE = "CASE finding " + " ".join(
+    f"WHEN '{name}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for name, text in FINDING_SUGGESTIONS.items()
+) + " END"
+
 PROFILE = f"""{ALL_FINDINGS}, y AS (SELECT tot.*, coalesce(s, 0)::BIGINT AS savings, coalesce(c, 0) AS findings, coalesce(hi, 0) AS hi,
     coalesce(wa, 0) AS wa, coalesce(inf, 0) AS inf, {WINDOW} AS win, {price()} AS price FROM tot LEFT JOIN (
     SELECT conv_id, sum(est_savings) AS s, count(*) AS c, count(*) FILTER (severity = 'high') AS hi,
@@ -346,7 +351,7 @@ REWRITTEN_JSON = f"""WITH {json_messages()},
     s AS (SELECT doc_id AS conv_id, idx AS pos, role, is_tool = 1 AS is_tool, NULL AS model, opt AS text FROM j WHERE shape <> 3 AND idx >= 0),
     {rewrite("s", keep=1)}
     SELECT doc_id::VARCHAR AS conv_id, idx AS msg_index, j.role, j.kind, j.tool_name, md5(coalesce(f.t3, j.opt)) AS opt_md5
-    FROM j LEFT JOIN f ON f.conv_id = j.doc_id AND f.pos = j.idx WHERE shape <> 3"""
+    FROM j LEFT JOIN f ON f.conv_id = j.doc_id AND f.pos = j.idx"""
 
 ORACLES: dict[str, str] = {
     "tokens_by_category": f"""WITH m AS (SELECT conv_id, role AS kind, {tok("text")} + 4 AS tokens FROM conversations)
@@ -410,7 +415,12 @@ ORACLES: dict[str, str] = {
         f"""SELECT conv_id, rank, finding, severity, est_savings, message,
             CASE WHEN est_savings > 0 THEN ' [save ~' || {tokens_label("est_savings")} || ']' ELSE '' END AS label FROM (
             SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END,
-              est_savings DESC, no, first_pos) AS rank FROM x) WHERE rank <= 10""",
+              est_savings DESC, no, first_pos) AS rank FROM x)""",
+        ALL_FINDINGS,
+    ),
+    "ordered_findings": docs(
+        f"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END,
+              est_savings DESC, no, first_pos) - 1 AS before, finding, message, {ADVICE} AS suggestion, messages FROM x""",
         ALL_FINDINGS,
     ),
     "conversation_profiles": docs(
@@ -453,6 +463,8 @@ ORACLES: dict[str, str] = {
     "rewritten_documents": REWRITTEN_JSON,
     "request_results": f"WITH {REQUESTS} SELECT * REPLACE (round(usd_saved, 9) AS usd_saved) FROM rr",
     "request_totals": f"WITH {REQUESTS} {REQUEST_TOTALS}",
+    "optimize_ledger": f"""WITH {doc_rows()}, {rewrite("s")}, z AS ({SUMS}), w AS ({SAVED})
+        SELECT 1700000000000 AS ts, 'optimize' AS ev, 'cli' AS src, tokens_saved::BIGINT AS saved, model FROM w WHERE tokens_saved > 0""",
     "streamed_requests": f"WITH {REQUESTS} {REQUEST_TOTALS}",
     "rejected_requests": """SELECT doc_id::VARCHAR AS request_id, CASE WHEN doc_id % 11 = 10 THEN 'GET' ELSE 'POST' END AS method, '/v1/nope' AS path,
         'unsupported path /v1/nope' AS error FROM documents WHERE (doc_id // 5) % 6 = 4""",
@@ -477,14 +489,24 @@ ORACLES: dict[str, str] = {
         sum(total_est_savings)::BIGINT AS total_waste, round(coalesce(sum(waste_usd), 0), 8) AS waste_usd FROM rep)
         SELECT *, {pct("total_waste", "total_tokens")} AS waste_pct FROM fl""",
     "deep_checks": f"WITH RECURSIVE {PROMPTS} SELECT session_id, ts, bytes, tokens, warn::INT AS warn FROM ck",
-    "alert_texts": f"""WITH RECURSIVE {PROMPTS}, {SESSIONS} SELECT session_id, ts, tokens,
+    "alert_texts": f"""WITH RECURSIVE {PROMPTS}, {SESSIONS}, best AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY est DESC, no, first_pos) AS place FROM (
+            SELECT conv_id, 'duplicate_content' AS finding, tokens - 4 AS est, 2 AS no, pos AS first_pos,
+                'Message #' || pos || ' duplicates the content of message #' || first || ' (~' || tokens || ' tokens).' AS message
+            FROM c1 WHERE h IS NOT NULL AND pos > first
+            UNION ALL
+            SELECT conv_id, 'long_history', {half_up("older::DOUBLE * 0.7::DOUBLE")}, 5, 0,
+                'Conversation has ' || turns || ' turns; the older half holds ~' || older::BIGINT || ' tokens.'
+            FROM c2 WHERE turns > 4) WHERE est > 0)
+        SELECT session_id, ts, tokens,
         'This session''s context is at ~' || {tokens_label("tokens")} || ' tokens' ||
         CASE WHEN total::DOUBLE / ({WINDOW})::DOUBLE > 0 THEN ' (' || {fixed(f"(total::DOUBLE / ({WINDOW})::DOUBLE * 100::DOUBLE)", 0)} || '% of the window)' ELSE '' END ||
         CASE WHEN {price()} IS NOT NULL THEN ', costing ~' || {usd_label(f"(total::DOUBLE / 1e6::DOUBLE * {price()})")} || ' of input per message' ELSE '' END || '.' || {NL} ||
         'Practice context hygiene from here on: summarize large tool results instead of keeping them verbatim, reference earlier content rather than re-reading or re-quoting it, and keep responses lean.' ||
-        CASE WHEN savings > 0 THEN {NL} || 'Largest recoverable waste: ~' || savings::BIGINT || ' (trim)' ELSE '' END ||
+        CASE WHEN message IS NOT NULL THEN {NL} || 'Largest recoverable waste: ' || message || ' (' || {ADVICE} || ')' ELSE '' END ||
         CASE WHEN tokens > 160000 THEN {NL} || 'If it fits the flow, offer the user a compaction of the older history.' ELSE '' END AS text
-        FROM (SELECT * FROM ck WHERE warn) LEFT JOIN (SELECT conv_id::VARCHAR AS session_id, model, total, savings FROM c3) USING (session_id)""",
+        FROM (SELECT * FROM ck WHERE warn) LEFT JOIN (SELECT conv_id::VARCHAR AS session_id, model, total FROM c3) USING (session_id)
+        LEFT JOIN (SELECT conv_id::VARCHAR AS session_id, finding, message FROM best WHERE place = 1) USING (session_id)""",
     "streamed_deep_checks": f"WITH RECURSIVE {PROMPTS} SELECT session_id, ts, bytes, tokens, warn::INT AS warn FROM ck",
     "alert_ledger": f"WITH RECURSIVE {PROMPTS} SELECT ts, 'check' AS ev, left(session_id, 12) AS sid, tokens AS tok, warn::INT AS warn FROM ck",
     "capped_alert_state": f"""WITH RECURSIVE {PROMPTS}, la AS (SELECT session_id, max(ts) AS ts, max(bytes) AS b,

@@ -231,13 +231,23 @@ def window_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = N.all_findings(stage(documents(spark, sf_dir), "measured"))
-    rows = N.ranked_findings(found, 10)
+    rows = N.ranked_findings(found)
     return rows.select(
         "conv_id", F.col("rank").cast("bigint").alias("rank"), "finding", "severity", "est_savings", "message",
         N.savings_label(F.col("est_savings")).alias("label"),
     )
 
 
+@query
+def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with its advice, and how many come before it in its conversation's report."""
+    found = N.ranked_findings(N.all_findings(stage(documents(spark, sf_dir), "measured")))
+    return found.select(
+        "conv_id", (F.col("rank") - 1).cast("bigint").alias("before"), "finding", "message", "suggestion",
+        joined(F.col("messages")).alias("messages"),
+    )
+
+
 @query
 def conversation_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = P.profile(W.document_messages(spark, sf_dir))
@@ -306,11 +316,11 @@ def pruned_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write changes back into JSON bodies, then read the bodies again."""
+    """Write changes back into bodies, then read the bodies again; raw texts pass through."""
     raw = W.json_documents(spark, sf_dir)
     options = R.RewriteOptions(keep_recent=1)
     result = O.optimize(normalize(raw), options)
-    bodies = rewrite_documents(raw.filter("shape <> 3"), result.rewritten)
+    bodies = rewrite_documents(raw, result.rewritten)
     again = normalize(bodies.select("conv_id", "body"))
     return again.select(
         "conv_id", "msg_index", "role", "kind", "tool_name", F.md5(F.col("opt_text").cast("binary")).alias("opt_md5")
@@ -374,6 +384,15 @@ def retained_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("warn", F.col("warn").cast("int"))
 
 
+@query
+def optimize_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger lines that rewriting runs leave behind, written and read back."""
+    savings = O.optimize(W.document_messages(spark, sf_dir)).savings
+    path = new_shared_path(spark, "ledger")
+    L.append_ledger(L.optimize_entries(savings, "cli", F.lit(1_700_000_000_000)), path)
+    return L.read_ledger(spark, path).select("ts", "ev", "src", "saved", "model")
+
+
 def staged_transcripts(spark: SparkSession, sf_dir: str) -> str:
     """Write transcripts as a session writer does: one file per session, in one task each."""
     path = new_shared_path(spark, "transcripts")
@@ -423,26 +442,26 @@ def recent_session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent_sessions(rows).agg(F.count(F.lit(1)).alias("sessions"))
 
 
-def session_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Profiles of conversations, and the sessions they stand for."""
+def session_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles of conversations, the sessions they stand for, and their findings by conversation."""
     messages = W.conversation_messages(spark, sf_dir).withColumn(
         "model", W.model_number(F.col("conv_id").cast("bigint"))
     )
     measured = stage(measure(messages, duplicate_min_chars=100), "measured")
-    limits = N.Thresholds(long_history_turns=4)
-    profiles = P.build_profile(measured, N.all_findings(measured, limits=limits)).withColumn(
+    found = N.all_findings(measured, limits=N.Thresholds(long_history_turns=4))
+    profiles = P.build_profile(measured, found).withColumn(
         "conv_id", F.concat(F.lit("/p/"), F.lpad("conv_id", 12, "0"), F.lit(".jsonl"))
     )
     sessions = profiles.select(
         F.col("conv_id").alias("path"), F.lit("p").alias("project"), F.lit(None).cast("string").alias("title"),
         "message_count",
     )
-    return profiles, sessions
+    return profiles, sessions, found
 
 
 @query
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles, sessions = session_profiles(spark, sf_dir)
+    profiles, sessions, _ = session_profiles(spark, sf_dir)
     report = I.session_report(profiles, sessions, I.session_activity(W.ledger(spark, sf_dir)))
     return report.select(
         "sid", "total_tokens", "total_est_savings", "waste_pct", F.round("waste_usd", 9).alias("waste_usd"),
@@ -452,7 +471,7 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fleet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profiles, sessions = session_profiles(spark, sf_dir)
+    profiles, sessions, _ = session_profiles(spark, sf_dir)
     report = I.session_report(profiles, sessions, I.session_activity(W.ledger(spark, sf_dir)))
     return I.fleet_totals(report).withColumn("waste_usd", F.round("waste_usd", 8))
 
@@ -468,15 +487,16 @@ def deep_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guidance for warned sessions; usage, cost and waste come from conversation profiles."""
-    profiles, _ = session_profiles(spark, sf_dir)
+    """Guidance for warned sessions: usage and cost from their profile, waste from their findings."""
+    profiles, _, found = session_profiles(spark, sf_dir)
     facts = profiles.select(
         F.regexp_extract("conv_id", r"/0*(\d+)\.jsonl", 1).alias("session_id"), "usage_pct",
         F.col("cost.per_call_usd").alias("per_call_usd"),
-        F.when(F.col("total_est_savings") > 0, F.concat(F.lit("~"), "total_est_savings")).alias("top_message"),
-        F.lit("trim").alias("top_suggestion"),
     )
-    return A.alert_text(A.deep_checks(W.prompt_sizes(spark, sf_dir)), facts)
+    top = N.top_recoverable(found).select(
+        F.col("conv_id").cast("string").alias("session_id"), "top_message", "top_suggestion"
+    )
+    return A.alert_text(A.deep_checks(W.prompt_sizes(spark, sf_dir)), facts.join(top, "session_id", "left"))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -551,9 +571,7 @@ def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests optimized per micro-batch; totals over the written results."""
     stream = as_stream(W.requests(spark, sf_dir), "requests")
     path = new_shared_path(spark, "request-stream")
-    run = optimize_request_stream(
-        stream, f"{path}/results", f"{path}/checkpoint", ledger_path=f"{path}/ledger"
-    )
+    run = optimize_request_stream(stream, f"{path}/results", f"{path}/checkpoint")
     run.awaitTermination()
     rows = spark.read.schema(RESULT_SCHEMA).parquet(f"{path}/results")
     return Q.request_totals(rows, ["upstream"]).withColumn("usd_saved", F.round("usd_saved", 8))
