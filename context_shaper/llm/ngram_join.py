@@ -17,17 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from context_shaper.llm.graph import components
+from context_shaper.llm.marks import marked_rows, marks_of
 from context_shaper.llm.tokens import grams, list_column, mix, small_batches, space_separated, token_hashes
 from context_shaper.session import stage
 
 COUNT_BUCKETS = 1 << 18
 COUNT_BLOCK = 1 << 12
-MARK_BUCKETS = 1 << 23
-MARK_BLOCK = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -132,8 +130,8 @@ def _prefixes(counts, options: NgramJoin):
                 # The sets are sorted, so a stable sort breaks ties by element in every document.
                 order = np.argsort(frequency[(s & mask).astype(np.int64)] | (s >> np.uint64(32)), kind="stable")
                 rare.append(_signed(s[order[:length]]))
-                for salt, into in ((0x5851F42D4C957F2D, second), (0x14057B7EF767814F, third)):
-                    mixed = np.sort(mix(s ^ np.uint64(salt)))[:length]
+                for salt, size, into in ((0x5851F42D4C957F2D, 2 * length, second), (0x14057B7EF767814F, length, third)):
+                    mixed = np.sort(mix(s ^ np.uint64(salt)))[:size]
                     into.append((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32))
             first, _ = _identities(sets)
             sizes = np.fromiter((len(s) for s in sets), np.int64, len(sets))
@@ -152,8 +150,7 @@ def _whole_sets(words: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = wanted.value
         for batch in batches:
-            ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(marks[_bucket(ids)]))
+            batch = batch.filter(marked_rows(marks, batch.column(0)))
             sets = shingle_sets(batch.column(1), words)
             first, _ = _identities(sets)
             yield pa.RecordBatch.from_arrays(
@@ -164,42 +161,6 @@ def _whole_sets(words: int, wanted):
     return run
 
 
-def _bucket(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(MARK_BUCKETS - 1)).astype(np.int64)
-
-
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's wanted documents, as blocks of bits."""
-    marks = np.zeros(MARK_BUCKETS, bool)
-    for batch in batches:
-        marks[_bucket(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    blocks = marks.reshape(-1, MARK_BLOCK)
-    used = np.flatnonzero(blocks.any(axis=1))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(used.astype(np.int32)), pa.array([np.packbits(blocks[b]).tobytes() for b in used], pa.binary())],
-        names=["block", "bits"],
-    )
-
-
-def _add_marks(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(MARK_BLOCK // 8, np.uint8)
-    for batch in batches:
-        for block in batch.column("bits"):
-            total |= np.frombuffer(block.as_buffer(), np.uint8)
-    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "bits": [total.tobytes()]})
-
-
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bit for each bucket that holds one of these doc_ids: a table of fixed size."""
-    blocks = ids.mapInArrow(_mark, "block int, bits binary").groupBy("block").applyInArrow(
-        _add_marks, "block int, bits binary"
-    )
-    marks = np.zeros((MARK_BUCKETS // MARK_BLOCK, MARK_BLOCK), bool)
-    for row in blocks.toLocalIterator():
-        marks[row.block] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    return marks.reshape(-1)
-
-
 def _needed(n1: Column, n2: Column, percent: int) -> Column:
     """The least overlap of two sets of these sizes that reaches the similarity."""
     return F.ceil((n1 + n2) * percent / F.lit(100.0 + percent))
@@ -244,19 +205,26 @@ def _pairs_across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFra
     )
 
 
-def _pass_other_orders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Pairs whose leading elements also meet under the second and the third order."""
-    sides = prefixes.select("id", "second", "third")
-    return (
-        pairs.join(sides.toDF("u", "u2", "u3"), "u").join(sides.toDF("v", "v2", "v3"), "v")
-        .filter(F.arrays_overlap("u2", "v2") & F.arrays_overlap("u3", "v3")).select("u", "v")
-    )
+def _pass_other_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose leading elements also meet under the second and the third order.
+
+    Of an overlap of c, the first ``a - c + l`` and ``b - c + l`` elements share at least l.  The
+    second order keeps twice the needed length, so it asks for many common elements; elements are
+    cut to 32 bits there, and what a document lost by that is allowed for.
+    """
+    sides = prefixes.select("id", "n", "second", "third")
+    both = pairs.join(sides.toDF("u", "nu", "u2", "u3"), "u").join(sides.toDF("v", "nv", "v2", "v3"), "v")
+    least = F.least(F.size("u2") - F.col("nu"), F.size("v2") - F.col("nv")) + _needed(F.col("nu"), F.col("nv"), percent)
+    lost = F.size("u2") - F.size(F.array_distinct("u2")) + F.size("v2") - F.size(F.array_distinct("v2"))
+    return both.filter(
+        F.arrays_overlap("u3", "v3") & (F.size(F.array_intersect("u2", "v2")) + lost >= least)
+    ).select("u", "v")
 
 
 def _links(pairs: DataFrame, texts: DataFrame, options: NgramJoin) -> DataFrame:
     """The pairs that reach the similarity, by their whole sets."""
     ends = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "ends")
-    wanted = texts.sparkSession.sparkContext.broadcast(_marks(ends.select("id.doc_id")))
+    wanted = texts.sparkSession.sparkContext.broadcast(marks_of(ends.select("id.doc_id")))
     sets = stage(
         texts.mapInArrow(_whole_sets(options.words, wanted), "doc_id bigint, h1 bigint, elements array<bigint>")
         .select(F.struct("doc_id", "h1").alias("id"), "elements").join(ends, "id", "left_semi")
@@ -308,21 +276,25 @@ def ngram_join(documents: DataFrame, options: NgramJoin = NgramJoin()) -> DataFr
             "doc_id bigint, h1 bigint, n bigint, rare array<bigint>, second array<int>, third array<int>",
         )
         .select(F.struct("doc_id", "h1").alias("id"), "n", "rare", "second", "third")
-        .join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "prefixes",
+        .join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("*", "id.*"), "prefixes",
     )
-    leading = prefixes.select("id", "n", F.posexplode("rare").alias("place", "element"))
+    # One shuffle by element serves both the count and the join with it.
+    leading = prefixes.select("doc_id", "h1", "n", F.posexplode("rare").alias("place", "element")).repartition("element")
     several = leading.groupBy("element").agg(F.count("*").alias("members")).filter("members > 1").select("element")
-    shared = stage(leading.join(several, "element", "left_semi"), "shared")
+    shared = stage(
+        leading.join(several, "element", "left_semi")
+        .select(F.struct("doc_id", "h1").alias("id"), "n", "place", "element"), "shared",
+    )
 
     repeated = classes.join(rows.select("doc_id", "h1", "h2").distinct(), ["h1", "h2"]).select("doc_id", "id")
     same_id = repeated.groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("w")).filter("v < w")
     same_id = repeated.join(same_id, "doc_id").filter("id <> v").select(F.col("id").alias("u"), "v")
 
-    pairs = stage(_pass_other_orders(_pairs_with_hubs(shared, options.percent), prefixes), "pairs")
+    pairs = stage(_pass_other_orders(_pairs_with_hubs(shared, options.percent), prefixes, options.percent), "pairs")
     links = stage(_links(pairs, texts, options).union(same_id), "links")
     labels = _labels(classes.select("id"), links)
     rest = _pairs_across(shared, labels, options.percent).join(pairs, ["u", "v"], "left_anti")
-    rest = stage(_pass_other_orders(rest, prefixes), "pairs")
+    rest = stage(_pass_other_orders(rest, prefixes, options.percent), "pairs")
     if not rest.isEmpty():
         labels = _labels(classes.select("id"), links.union(_links(rest, texts, options)))
     named = classes.join(labels, "id").select("h1", "h2", F.col("label.doc_id").alias("component"))
@@ -338,7 +310,7 @@ def one_of_each_group(documents: DataFrame, options: NgramJoin = NgramJoin()) ->
     Rows that share that doc_id all stay, and so do rows without a doc_id or without words.
     """
     dropped = stage(
-        ngram_join(documents, options).filter("component_id <> doc_id").select(F.col("doc_id").alias("_d")).distinct(),
+        ngram_join(documents, options).filter("component_id <> doc_id").select("doc_id").distinct(),
         "duplicates",
     )
-    return documents.join(dropped, F.col("doc_id").cast("bigint") == F.col("_d"), "left_anti")
+    return documents.join(dropped, documents["doc_id"].cast("bigint") == dropped["doc_id"], "left_anti")
