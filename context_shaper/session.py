@@ -68,18 +68,6 @@ def release_staged(spark: SparkSession) -> None:
     path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Give a small input enough partitions to use every core.
-
-    A file with one row group is one task, however many cores wait.  Inputs that already have
-    as many partitions as the cluster has cores are left alone, so large ones never shuffle.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.isStreaming or rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores)
-
-
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tests.compare import connect, difference
@@ -22,3 +24,23 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+
+
+UNSHUFFLED = [
+    "category_shares", "window_usage", "largest_messages", "large_tool_results", "duplicate_content", "base64_blobs",
+    "long_histories", "cache_orderings", "window_pressure", "ranked_findings", "conversation_profiles", "profile_headlines",
+]
+
+
+@pytest.mark.parametrize("name", UNSHUFFLED)
+def test_texts_are_not_shuffled(spark, name, monkeypatch):
+    """Small tables are dealt over the cores first; without that no text crosses a shuffle or sort."""
+    staged = []
+    monkeypatch.setattr("workload.inputs.SMALL_BYTES", 0)
+    monkeypatch.setattr("workload.queries.stage", lambda rows, _: staged.append(rows) or rows)
+    crossed = set()
+    for rows in [QUERIES[name](spark, SF_DIR), *staged]:
+        plan = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "formatted")
+        for inputs in re.findall(r"\(\d+\) (?:Exchange|Sort)\b[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", plan):
+            crossed |= {column.split("#")[0].strip() for column in inputs.split(",")}
+    assert crossed and not crossed & {"text", "opt_text"}

@@ -47,7 +47,7 @@ def joined(numbers: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, *features: str) -> DataFrame:
-    return measure(W.document_messages(spark, sf_dir), features or FEATURES)
+    return W.measured_documents(spark, sf_dir, features or FEATURES)
 
 
 def calls(spark: SparkSession, sf_dir: str, *features: str) -> DataFrame:
@@ -201,7 +201,7 @@ def repeated_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def base64_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings_view(N.base64_blobs(measure(W.document_messages(spark, sf_dir, W.with_blobs()), ("tokens", "has_blob"))))
+    return findings_view(N.base64_blobs(W.measured_documents(spark, sf_dir, ("tokens", "has_blob"), W.with_blobs())))
 
 
 @query
@@ -250,7 +250,8 @@ def ordered_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = P.profile(W.document_messages(spark, sf_dir))
+    measured = stage(documents(spark, sf_dir), "measured")
+    rows = P.with_largest(P.build_profile(measured, N.all_findings(measured)), measured)
     return rows.select(
         "conv_id", "model", "source_format", "message_count", "total_tokens", "total_est_savings", "finding_count",
         "high_count", "warn_count", "info_count", "waste_pct",
