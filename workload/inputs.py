@@ -252,3 +252,20 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("session"),
         "turn", F.posexplode(lines).alias("part", "value"),
     )
+
+
+def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw(conv_id, body): a document as a tool result inside one to six others."""
+    depth = (F.col("doc_id") % 6 + 1).cast("int")
+    inside = _block(type="text", text=F.col("text"))
+    content = F.concat(F.repeat(F.lit('{"type":"tool_result","content":['), depth), inside, F.repeat(F.lit("]}"), depth))
+    body = F.concat(F.lit('[{"role":"user","content":['), content, F.lit("]}]"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("conv_id"), body.alias("body"))
+
+
+def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw(conv_id, body): a conversation as one JSON list of its turns."""
+    turn = F.struct("turn", _json(role=F.col("role"), content=F.col("text")).alias("message"))
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(
+        F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(turn))["message"], ","), F.lit("]")).alias("body")
+    )

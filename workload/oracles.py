@@ -460,6 +460,13 @@ ORACLES: dict[str, str] = {
     "pruned_digests": rf"""WITH {doc_rows()}, {rewrite('s', prune=True)} SELECT f.conv_id, 0::BIGINT AS part,
         string_agg('[' || pos || ':' || role || '] ' || left(regexp_replace(t3, '\s+', ' ', 'g'), 200), {NL} ORDER BY pos) AS digest
         FROM f JOIN p ON p.conv_id = f.conv_id AND pos < keep_from GROUP BY f.conv_id""",
+    "nested_tool_results": f"""SELECT doc_id::VARCHAR AS conv_id, 'tool_result' AS kind, {tok("text")} + 4 AS tokens,
+        md5(text) AS text_md5, md5(text) AS opt_md5 FROM documents""",
+    "pruned_documents": f"""WITH s AS (SELECT conv_id::VARCHAR AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role,
+        role = 'tool' AS is_tool, NULL AS model, text FROM conversations), {rewrite('s', keep=2, prune=True)}
+        SELECT f.conv_id, CASE WHEN keep_from IS NULL THEN pos ELSE pos - keep_from + 1 END AS msg_index, role, md5(t3) AS opt_md5
+        FROM f LEFT JOIN p USING (conv_id) WHERE keep_from IS NULL OR pos >= keep_from
+        UNION ALL SELECT conv_id, 0, 'user', md5(stub) FROM p""",
     "rewritten_documents": REWRITTEN_JSON,
     "request_results": f"WITH {REQUESTS} SELECT * REPLACE (round(usd_saved, 9) AS usd_saved) FROM rr",
     "request_totals": f"WITH {REQUESTS} {REQUEST_TOTALS}",

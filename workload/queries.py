@@ -328,6 +328,25 @@ def rewritten_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def nested_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of tool results one to six levels deep, as the profile and as the rewriter read them."""
+    rows = measure(normalize(W.nested_results(spark, sf_dir)).withColumn("model", F.lit(None).cast("string")), ("tokens",))
+    texts = normalize(W.nested_results(spark, sf_dir)).select(
+        "conv_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.md5(F.col("opt_text").cast("binary")).alias("opt_md5")
+    )
+    return rows.select("conv_id", "kind", "tokens").join(texts, "conv_id")
+
+
+@query
+def pruned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations rewritten and pruned as JSON bodies, then read again."""
+    raw = W.conversation_documents(spark, sf_dir)
+    result = O.optimize(normalize(raw), R.RewriteOptions(strategies=V.STRATEGIES, keep_recent=2))
+    again = normalize(rewrite_documents(raw, result.rewritten, result.points).select("conv_id", "body"))
+    return again.select("conv_id", "msg_index", "role", F.md5(F.col("opt_text").cast("binary")).alias("opt_md5"))
+
+
 # --- requests -------------------------------------------------------------------------------
 
 
