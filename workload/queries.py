@@ -413,8 +413,14 @@ def optimize_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.read_ledger(spark, path).select("ts", "ev", "src", "saved", "model")
 
 
+_transcripts: dict[tuple[str, str], str] = {}
+
+
 def staged_transcripts(spark: SparkSession, sf_dir: str) -> str:
-    """Write transcripts as a session writer does: one file per session, in one task each."""
+    """Write transcripts as a session writer does, once: one file per session, in one task each."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _transcripts:
+        return _transcripts[key]
     path = new_shared_path(spark, "transcripts")
     lines = W.transcript_lines(spark, sf_dir)
     (
@@ -423,6 +429,7 @@ def staged_transcripts(spark: SparkSession, sf_dir: str) -> str:
         .select("project", "session", "value")
         .write.partitionBy("project", "session").text(path)
     )
+    _transcripts[key] = path
     return path
 
 
