@@ -102,6 +102,13 @@ def top_rows(rows: DataFrame, key: str, order: list[Column], count: int, rank: s
     return ranked.filter(F.col(rank) <= count)
 
 
+def newest_rows(rows: DataFrame, order: list[Column], count: int, owner: str | None = None) -> DataFrame:
+    """The first ``count`` rows in this order, of all or of every owner (a machine, user or project)."""
+    if owner is None:
+        return rows.orderBy(*order).limit(count)
+    return top_rows(rows, owner, order, count, "_newest").drop("_newest")
+
+
 def join_conversations(
     rows: DataFrame,
     facts: DataFrame,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from context_shaper import fixed_values as V
+from context_shaper.operators.ordering import newest_rows
 from context_shaper.sources.documents import is_json
 
 LEDGER_SCHEMA = (
@@ -50,9 +51,9 @@ def append_ledger(entries: DataFrame, path: str) -> None:
     entries.select(F.to_json(F.struct(*fields)).alias("value")).write.mode("append").text(path)
 
 
-def retained(ledger: DataFrame, keep: int = V.LEDGER_KEEP_ENTRIES) -> DataFrame:
-    """The most recent entries."""
-    return ledger.orderBy(F.desc("ts"), F.desc("seq")).limit(keep)
+def retained(ledger: DataFrame, keep: int = V.LEDGER_KEEP_ENTRIES, owner: str | None = None) -> DataFrame:
+    """The most recent entries; in a ledger of a whole fleet, of each ``owner``."""
+    return newest_rows(ledger, [F.desc("ts"), F.desc("seq")], keep, owner)
 
 
 def compact_ledger(

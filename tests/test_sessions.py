@@ -221,3 +221,13 @@ def test_streamed_requests_equal_batch(spark):
     assert sorted(map(str, streamed.collect())) == sorted(map(str, want.select(streamed.columns).collect()))
     assert tuple(Q.request_totals(streamed).first()) == tuple(Q.request_totals(want).first())
     assert spark.read.parquet(f"{path}/bodies").count() == want.count()
+
+
+def test_limits_hold_for_each_owner(spark):
+    rows = spark.createDataFrame(
+        [(o, f"s{i}", i, i, "", f"p{i}", i) for o in ("m1", "m2") for i in range(6)],
+        "owner string, session_id string, ts bigint, seq bigint, entry string, path string, modified_at bigint",
+    ).withColumn("size_bytes", F.lit(1))
+    for frame in (L.retained(rows, 2, "owner"), A.cap_state(rows, "ts", 2, "owner"), C.recent_sessions(rows, 2, 10, "owner")):
+        assert sorted((r.owner, r.ts) for r in frame.collect()) == [("m1", 4), ("m1", 5), ("m2", 4), ("m2", 5)]
+    assert L.retained(rows, 3).count() == A.cap_state(rows, "ts", 3).count() == 3

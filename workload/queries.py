@@ -529,12 +529,22 @@ def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ----------------------------------------------------------------------------------
 
 
-def as_stream(rows: DataFrame, label: str) -> DataFrame:
-    """A staged table read back as a stream of files."""
+TRIGGERS = 4
+
+
+def as_stream(rows: DataFrame, label: str, order: str | None = None) -> DataFrame:
+    """A staged table read back as a stream of files; with ``order``, a file of later rows per trigger."""
     spark = rows.sparkSession
     path = new_shared_path(spark, label)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
+    if order is None:
+        rows.write.parquet(path)
+        return spark.readStream.schema(rows.schema).parquet(path)
+    rows = stage(rows, label)
+    cuts = rows.stat.approxQuantile(order, [i / TRIGGERS for i in range(1, TRIGGERS)], 0.01)
+    number = sum(((F.col(order) > cut).cast("int") for cut in cuts), F.lit(0))
+    for trigger in range(TRIGGERS):
+        rows.filter(number == trigger).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
@@ -555,7 +565,7 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
 
 @query
 def watched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = drain(watch_status(as_stream(documents(spark, sf_dir, "tokens"), "messages")), "watch-status")
+    status = drain(watch_status(as_stream(documents(spark, sf_dir, "tokens"), "messages", "pos")), "watch-status")
     return status.groupBy("conv_id").agg(
         F.max("total_tokens").alias("total_tokens"), F.sum("delta").alias("grown"),
         F.max("message_count").alias("message_count"), F.max("turn_count").alias("turn_count"),
@@ -576,7 +586,7 @@ def watched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def streamed_deep_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = as_stream(W.prompt_sizes(spark, sf_dir), "prompts")
+    stream = as_stream(W.prompt_sizes(spark, sf_dir), "prompts", "ts")
     rows = drain(deep_check_stream(stream), "deep-checks")
     return rows.select("session_id", "ts", "bytes", "tokens", F.col("warn").cast("int").alias("warn"))
 
@@ -584,7 +594,7 @@ def streamed_deep_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def alert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger lines that the alert stream leaves behind."""
-    stream = as_stream(W.prompt_sizes(spark, sf_dir), "prompts")
+    stream = as_stream(W.prompt_sizes(spark, sf_dir), "prompts", "ts")
     rows = L.check_entries(drain(deep_check_stream(stream), "deep-checks"))
     path = new_shared_path(spark, "ledger")
     L.append_ledger(rows, path)
