@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         current = stage(_small_star(_large_star(current)), "links")
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
+        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now

@@ -36,6 +36,42 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+ORACLES["op1_line_dedup"] = r"""
+WITH texts AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT doc_id, unnest(range(0, len(parts))) AS line, unnest(parts) AS said FROM texts
+), worded AS (
+    SELECT doc_id, line, regexp_extract_all(
+        translate(said, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM lines
+), long_enough AS (
+    SELECT w, len(w) AS n, min((doc_id, line)) AS first FROM worded WHERE len(w) >= 5 GROUP BY w
+), sized AS (
+    SELECT *, unnest([n, n - 1]) AS shorter FROM long_enough WHERE n >= 10
+), halves AS (
+    SELECT w, n, first, shorter, 1 AS side, w[1:shorter // 2] AS half FROM sized
+    UNION ALL
+    SELECT w, n, first, shorter, 2, w[n - (shorter - shorter // 2) + 1:n] FROM sized
+), near AS (
+    SELECT DISTINCT a.w, a.first FROM halves a JOIN halves b
+    ON a.shorter = b.shorter AND a.side = b.side AND a.half = b.half AND b.first < a.first AND a.w <> b.w
+    WHERE CASE
+        WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.w[i] <> b.w[i])) <= 1
+        WHEN a.n = b.n + 1 THEN len(list_filter(range(1, a.n + 1), lambda i: a.w[1:i - 1] = b.w[1:i - 1] AND a.w[i + 1:a.n] = b.w[i:b.n])) > 0
+        ELSE len(list_filter(range(1, b.n + 1), lambda i: b.w[1:i - 1] = a.w[1:i - 1] AND b.w[i + 1:b.n] = a.w[i:a.n])) > 0 END
+), dropped AS (
+    SELECT x.doc_id, x.line FROM worded x JOIN long_enough l ON x.w = l.w
+    WHERE (x.doc_id, x.line) <> l.first OR l.first IN (SELECT first FROM near)
+), gone AS (
+    SELECT doc_id, list(line) AS numbers FROM dropped GROUP BY doc_id
+)
+SELECT t.doc_id, array_to_string(list_filter(t.parts, lambda x, i: NOT list_contains(coalesce(g.numbers, []), i - 1)), chr(10)) AS text,
+    len(t.parts) AS n_lines, coalesce(len(g.numbers), 0) AS n_dropped
+FROM texts t LEFT JOIN gone g USING (doc_id)
+"""
+
+
 ORACLES["op6_ngram_join"] = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(
@@ -144,6 +180,35 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", *[f"n_{kind}" for kind in kinds], F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+ASSIGNED = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ORACLES["op9_secrets"] = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+    SELECT doc_id, 0 AS rank, 'assign' AS kind, string_split_regex(t, '{ASSIGNED}') AS parts, regexp_extract_all(t, '{ASSIGNED}') AS ms FROM d
+    UNION ALL
+    SELECT doc_id, 1, 'access', string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+    UNION ALL
+    SELECT doc_id, 2, 'hex', string_split_regex(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}') FROM d
+), each_match AS (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found WHERE len(ms) > 0
+), placed AS (
+    SELECT doc_id, rank, kind, ms[i] AS m, (list_sum(list_transform(parts[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS first FROM each_match
+), kept AS (
+    SELECT *, first + length(m) AS after FROM placed WHERE CASE kind
+        WHEN 'assign' THEN length(regexp_extract(m, '{ASSIGNED}', 2)) >= 6 WHEN 'access' THEN length(m) >= 20 ELSE true END
+), listed AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || first || ':' || after, ',' ORDER BY first, rank) AS spans
+    FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
 @query
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(table(spark, sf_dir, "documents"))
