@@ -469,6 +469,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT conv_id, 0, 'user', md5(stub) FROM p""",
     "rewritten_documents": REWRITTEN_JSON,
     "request_results": f"WITH {REQUESTS} SELECT * REPLACE (round(usd_saved, 9) AS usd_saved) FROM rr",
+    "forwarded_request_bodies": f"""WITH {REQUESTS} SELECT rr.request_id, j.idx AS msg_index, j.role,
+        md5(CASE WHEN rr.parsed THEN coalesce(f.t3, j.opt) ELSE j.opt END) AS opt_md5
+        FROM rr JOIN j ON j.doc_id::VARCHAR = rr.request_id LEFT JOIN f ON f.conv_id = j.doc_id AND f.pos = j.idx""",
     "request_totals": f"WITH {REQUESTS} {REQUEST_TOTALS}",
     "optimize_ledger": f"""WITH {doc_rows()}, {rewrite("s")}, z AS ({SUMS}), w AS ({SAVED})
         SELECT 1700000000000 AS ts, 'optimize' AS ev, 'cli' AS src, tokens_saved::BIGINT AS saved, model FROM w WHERE tokens_saved > 0""",

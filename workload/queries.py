@@ -357,6 +357,17 @@ def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("parsed", F.col("parsed").cast("int")).withColumn("usd_saved", F.round("usd_saved", 9))
 
 
+@query
+def forwarded_request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes upstream for every accepted request: its body, optimized or as it came, read again."""
+    requests = W.requests(spark, sf_dir)
+    bodies = Q.forwarded_bodies(requests, Q.optimize_requests(requests))
+    again = normalize(bodies.select(F.col("request_id").alias("conv_id"), "body"))
+    return again.select(
+        F.col("conv_id").alias("request_id"), "msg_index", "role", F.md5(F.col("opt_text").cast("binary")).alias("opt_md5")
+    )
+
+
 @query
 def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = W.requests(spark, sf_dir)
