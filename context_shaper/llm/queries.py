@@ -220,6 +220,88 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PERSONAL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+_PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_TOKEN = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+
+
+def _matches(rank: int, kind: str, pattern: str) -> str:
+    return (
+        f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, string_split_regex(t, '{pattern}') AS parts, "
+        f"regexp_extract_all(t, '{pattern}') AS ms FROM d"
+    )
+
+
+_ROUND = """
+scored{n} AS (
+    SELECT pattern FROM edges GROUP BY pattern
+    HAVING count(*) FILTER (core IN (SELECT core FROM learned{m})) >= 5
+        AND count(*) FILTER (core IN (SELECT core FROM learned{m})) >= count(*) * 0.6
+), learned{n} AS (
+    SELECT core FROM edges WHERE pattern IN (SELECT pattern FROM scored{n}) UNION SELECT core FROM learned0
+)"""
+
+ORACLES["op10_personal_data"] = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+    {" UNION ALL ".join(_matches(i, kind, pattern) for i, (kind, pattern) in enumerate(_PERSONAL))}
+    UNION ALL {_matches(9, "token", _TOKEN)}
+), each_match AS (
+    SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM found WHERE len(ms) > 0
+), placed AS (
+    SELECT doc_id, rank, kind, ms[i] AS m, parts[i] AS before, regexp_replace(ms[i], '[^0-9]', '', 'g') AS n,
+        (list_sum(list_transform(parts[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS first FROM each_match
+), kept AS (
+    SELECT doc_id, rank, kind, first, first + length(m) AS after FROM placed WHERE CASE kind
+        WHEN 'email' THEN true
+        WHEN 'ip' THEN regexp_full_match(m, '{_PART}(\.{_PART}){{3}}')
+        WHEN 'card' THEN length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(n) + 1),
+            lambda i: CASE WHEN i % 2 = 1 THEN substr(n, length(n) - i + 1, 1)::INT
+                ELSE 2 * substr(n, length(n) - i + 1, 1)::INT - 9 * (substr(n, length(n) - i + 1, 1)::INT > 4)::INT END)) % 10 = 0
+        WHEN 'phone' THEN length(n) BETWEEN 9 AND 15 ELSE false END
+), stripped AS (
+    SELECT doc_id, first + length(regexp_extract(m, '^([^A-Za-z0-9+]*)', 1)) AS first,
+        regexp_replace(substr(m, length(regexp_extract(m, '^([^A-Za-z0-9+]*)', 1)) + 1), '[^A-Za-z0-9]*$', '') AS core,
+        string_split(rtrim(translate(before, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+            'abcdefghijklmnopqrstuvwxyz     ')), ' ') AS said
+    FROM placed WHERE kind = 'token'
+), tokens AS (
+    SELECT doc_id, first, first + length(core) AS after, core, array_to_string(said[greatest(len(said) - 1, 1):len(said)], ' ') AS pattern
+    FROM stripped
+), marked AS (
+    SELECT t.*, coalesce(bool_or(k.first >= t.first AND k.after <= t.after), false) AS known,
+        coalesce(bool_or(k.first < t.after AND t.first < k.after), false) AS taken
+    FROM tokens t LEFT JOIN kept k USING (doc_id) WHERE pattern <> '' AND core <> '' GROUP BY ALL
+), candidates AS (
+    SELECT * FROM marked WHERE known OR NOT taken
+), edges AS (
+    SELECT pattern, core, bool_or(known) AS known FROM candidates GROUP BY ALL
+), learned0 AS (
+    SELECT DISTINCT core FROM edges WHERE known
+), {_ROUND.format(n=1, m=0)}, {_ROUND.format(n=2, m=1)}, spans AS (
+    SELECT * FROM kept UNION ALL
+    SELECT DISTINCT doc_id, 4, 'context', first, after FROM candidates
+    WHERE NOT known AND (pattern IN (SELECT pattern FROM scored2) OR core IN (SELECT core FROM learned2))
+), listed AS (
+    SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip,
+        count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+        string_agg(kind || ':' || first || ':' || after, ',' ORDER BY rank, first) FILTER (rank < 4) AS base,
+        string_agg(kind || ':' || first || ':' || after, ',' ORDER BY rank, first) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)
+"""
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = archive_round_trip(table(spark, sf_dir, "pages"))
