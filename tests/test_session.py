@@ -37,3 +37,9 @@ def test_staged_tables_can_be_released(spark):
         session.stage(spark.range(1).selectExpr("id AS x"), "probe").sparkSession.read.parquet(
             staged.inputFiles()[0]
         ).count()
+
+
+def test_sessions_do_not_share_private_folders():
+    first, other = _Session("local[2]"), _Session("local[2]")
+    other.sparkContext.applicationId = "app-2"
+    assert session.shared_folder(first) != session.shared_folder(other)
