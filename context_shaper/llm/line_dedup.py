@@ -18,9 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
+from context_shaper.llm.marks import marked_rows, marks_of
 from context_shaper.llm.tokens import (
     by_bytes, mix, power, small_batches, span_hashes, space_separated, text_bytes, token_bounds,
 )
@@ -120,32 +121,33 @@ def _describe(options: LineDedup):
 
 
 def _vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The variants of the wanted lines of each text: (place of the deleted word, or -1; key)."""
+    """The variants of the wanted lines of rows (text, lines, ranks): the place of the deleted word
+    (-1 for the line itself, with its text) and a key of what is left."""
     for whole in batches:
-        for batch in by_bytes(whole, 2):
-            lines = _Lines(batch.column(2))
-            wanted = batch.column(3)
-            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
-            numbers = wanted.flatten().to_numpy()
-            at = np.flatnonzero(np.isin(lines.row * (1 << 32) + lines.line, rows * (1 << 32) + numbers))
+        for batch in by_bytes(whole, 0):
+            lines = _Lines(batch.column(0))
+            rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            wanted = rows * (1 << 32) + batch.column(1).flatten().to_numpy()
+            order = np.argsort(wanted, kind="stable")
+            places = lines.row * (1 << 32) + lines.line
+            at = np.flatnonzero(np.isin(places, wanted))
+            rank = batch.column(2).flatten().to_numpy()[order][np.searchsorted(wanted[order], places[at])]
             first, last, size = lines.first[at], lines.last[at], lines.words[at]
             gaps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             begin, end, count = (np.repeat(x, size) for x in (first, last, size))
             sums, back = lines.sums[0], power(_INVERSE, len(lines.sums[0]))
             each = begin + gaps
             rest = (sums[each] - sums[begin] + (sums[end] - sums[each + 1]) * np.uint64(_INVERSE)) * back[begin]
-            yield _variant_rows(batch, lines, np.repeat(at, size), gaps, _named(rest, count - 1), None)
-            texts = [batch.column(2)[int(lines.row[i])].as_py().split("\n")[lines.line[i]] for i in at]
-            yield _variant_rows(batch, lines, at, np.full(len(at), -1), _named(lines.spans(0, first, last), size), texts)
+            yield _variants(np.repeat(rank, size), gaps, _named(rest, count - 1), pa.nulls(len(gaps), pa.string()))
+            texts = [batch.column(0)[int(lines.row[i])].as_py().split("\n")[lines.line[i]] for i in at]
+            itself = _named(lines.spans(0, first, last), size)
+            yield _variants(rank, np.full(len(at), -1), itself, pa.array(texts, pa.string()))
 
 
-def _variant_rows(batch, lines: _Lines, at: np.ndarray, gaps: np.ndarray, keys: np.ndarray, texts) -> pa.RecordBatch:
-    places = pa.array(lines.row[at])
+def _variants(rank: np.ndarray, gaps: np.ndarray, keys: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(places), batch.column(1).take(places), pa.array(lines.line[at].astype(np.int32)),
-         pa.array(gaps.astype(np.int32)), _signed(keys),
-         pa.nulls(len(at), pa.string()) if texts is None else pa.array(texts, pa.string())],
-        names=["doc_id", "version", "line", "gap", "key", "text"],
+        [pa.array(rank, pa.int64()), pa.array(gaps.astype(np.int32)), _signed(keys), texts],
+        names=["rank", "gap", "key", "text"],
     )
 
 
@@ -178,9 +180,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their dropped lines, and how many lines there were and went."""
+    """Rows (row, text, drops): the text without its dropped lines, and how many there were and went."""
     for batch in batches:
-        texts, drops = batch.column("_text").to_pylist(), batch.column("_drops")
+        texts, drops = batch.column(1).to_pylist(), batch.column(2)
         out, total, gone = [], [], []
         for at, text in enumerate(texts):
             numbers = set(drops[at].as_py() or ())
@@ -188,42 +190,53 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total.append(len(lines))
             gone.append(len(numbers))
             out.append("\n".join(x for i, x in enumerate(lines) if i not in numbers) if numbers else text)
-        fixed = [batch.column(i) for i in range(batch.num_columns)]
-        names = batch.schema.names
-        fixed[names.index("_text")] = pa.array(out, batch.column("_text").type)
         yield pa.RecordBatch.from_arrays(
-            fixed + [pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=names + ["_n_lines", "_n_dropped"]
+            [batch.column(0), pa.array(out, batch.column(1).type), drops, pa.array(total, pa.int64()), pa.array(gone, pa.int64())],
+            names=["row", "text", "drops", "n_lines", "n_dropped"],
         )
 
 
 def _drops_near(lines: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """First lines of classes that are one edit from an earlier line."""
-    halves = classes.select("place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).filter("c > 1").select("half")
-    near = halves.join(shared, "half", "left_semi").select("place.*").distinct()
-    wanted = near.groupBy("doc_id", "version").agg(F.collect_list("line").alias("lines"))
+    """(doc_id, version, line) of first lines of classes that are one edit from an earlier line."""
+    # One shuffle by half serves both the comparison and the join with it.
+    halves = lines.select("h1", "h2", F.explode("halves").alias("half")).repartition("half")
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high")
+    near = halves.join(shared.select("half"), "half", "left_semi").select("h1", "h2").distinct()
+    # Sorted by place and numbered in that order, a line is named by one number that says which is earlier.
+    near = classes.join(near, ["h1", "h2"]).select("place").orderBy("place")
+    near = stage(near.select("place.*", F.monotonically_increasing_id().alias("rank")), "near-lines")
+    wanted = near.groupBy("doc_id", "version").agg(F.collect_list(F.struct("line", "rank")).alias("wanted"))
+    wanted = stage(wanted.select("doc_id", "version", "wanted.line", "wanted.rank"), "wanted")
+    marks = texts.sparkSession.sparkContext.broadcast(marks_of(wanted.filter("doc_id IS NOT NULL").select("doc_id")))
+
+    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(marked_rows(marks.value, batch.column(0)))
+
+    texts = texts.filter("text IS NOT NULL").mapInArrow(maybe, texts.schema)
     same = (texts["doc_id"].eqNullSafe(wanted["doc_id"])) & (texts["version"] == wanted["version"])
     varied = stage(
-        texts.join(wanted, same)
-        .select(texts["doc_id"], texts["version"], "text", "lines")
-        .mapInArrow(_vary, "doc_id bigint, version bigint, line int, gap int, key bigint, text string"), "variants",
+        texts.join(wanted, same).select("text", "line", "rank")
+        .mapInArrow(_vary, "rank bigint, gap int, key bigint, text string"), "variants",
+    )
+    # One shuffle by key: equal gaps of a key are replacements of one word, a line and a variant an insertion.
+    by_gap, by_key = Window.partitionBy("key", "gap"), Window.partitionBy("key")
+    met = varied.select("key", "gap", "rank").repartition("key").select(
+        "rank", "gap", F.min("rank").over(by_gap).alias("replaced"),
+        F.min(F.when(F.col("gap") < 0, F.col("rank"))).over(by_key).alias("whole"),
+        F.min(F.when(F.col("gap") >= 0, F.col("rank"))).over(by_key).alias("variant"),
     )
-    place = _place("doc_id", "version", "line").alias("place")
-    variants = varied.filter("gap >= 0").select("key", "gap", place)
-    wholes = varied.filter("gap < 0").select("key", _place("doc_id", "version", "line").alias("whole"))
-    replaced = variants.groupBy("key", "gap").agg(F.min("place").alias("other"), F.max("place").alias("top")).filter(
-        "other < top"
-    ).select("key", "gap", "other")
-    neighbours = variants.join(replaced, ["key", "gap"]).select("place", "other").union(
-        variants.join(wholes, "key").select(F.greatest("place", "whole"), F.least("place", "whole"))
+    other = F.when(F.col("gap") < 0, F.col("variant")).otherwise(F.least("replaced", "whole"))
+    earliest = met.select("rank", other.alias("other")).filter("other < rank").groupBy("rank").agg(
+        F.min("other").alias("other")
     )
-    earliest = neighbours.filter("other < place").groupBy("place").agg(F.min("other").alias("other"))
-    said = varied.filter("gap < 0").select(place, "text").dropDuplicates(["place"])
-    return (
-        earliest.join(said, "place").withColumnRenamed("text", "a")
-        .join(said.select(F.col("place").alias("other"), F.col("text").alias("b")), "other")
-        .select("place", "a", "b").mapInArrow(_verify, earliest.select("place").schema)
+    said = varied.filter("gap < 0").select("rank", "text").dropDuplicates(["rank"])
+    verified = (
+        earliest.join(said, "rank").withColumnRenamed("text", "a")
+        .join(said.select(F.col("rank").alias("other"), F.col("text").alias("b")), "other")
+        .select("rank", "a", "b").mapInArrow(_verify, "rank bigint")
     )
+    return near.join(verified, "rank").select("doc_id", "version", "line")
 
 
 def _place(doc_id: str, version: str, line: str):
@@ -249,11 +262,14 @@ def line_dedup(documents: DataFrame, options: LineDedup = LineDedup()) -> DataFr
     if options.max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     small_batches(documents.sparkSession)
-    keyed = documents.drop("n_lines", "n_dropped").withColumns({
-        "_id": F.col("doc_id").cast("bigint"), "_version": F.xxhash64(F.col("text").cast("string")),
-        "_text": F.col("text").cast("string"),
-    })
-    texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_version").alias("version"), F.col("_text").alias("text"))
+    # The rest of the row travels as one value, so no column of the caller's can clash with one of ours.
+    names = [name for name in documents.columns if name.lower() not in ("n_lines", "n_dropped")]
+    others = [F.col(f"`{name}`") for name in names if name.lower() != "text"]
+    keyed = documents.select(
+        F.struct(*others).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("version"), F.col("text").cast("string").alias("text"),
+    )
+    texts = keyed.select("doc_id", "version", "text")
     lines = stage(
         texts.filter("text IS NOT NULL").mapInArrow(
             _describe(options),
@@ -263,22 +279,18 @@ def line_dedup(documents: DataFrame, options: LineDedup = LineDedup()) -> DataFr
     place = _place("doc_id", "version", "line")
     classes = stage(
         lines.groupBy("h1", "h2").agg(
-            F.min(place).alias("place"), F.max(place).alias("last"), F.first("halves").alias("halves")
+            F.min(place).alias("place"), F.max(place).alias("last")
         ), "line-classes",
     )
     again = classes.filter("place < last").select("h1", "h2", "place")
     drops = lines.join(again, ["h1", "h2"]).filter(place > F.col("place")).select("doc_id", "version", "line")
     if options.max_edits:
-        drops = drops.union(_drops_near(lines, classes, texts).select("place.doc_id", "place.version", "place.line"))
-    by_document = drops.groupBy("doc_id", "version").agg(F.collect_set("line").alias("_drops"))
-    by_document = by_document.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "_drops")
-    joined = keyed.join(
-        by_document, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_version") == F.col("_v")), "left"
-    ).drop("_d", "_v")
-    schema = StructType([*joined.schema.fields]).add("_n_lines", "long").add("_n_dropped", "long")
+        drops = drops.union(_drops_near(lines, classes, texts))
+    by_document = drops.groupBy("doc_id", "version").agg(F.collect_set("line").alias("drops"))
+    same = keyed["doc_id"].eqNullSafe(by_document["doc_id"]) & (keyed["version"] == by_document["version"])
+    joined = keyed.join(by_document, same, "left").select("row", "text", "drops")
+    schema = StructType([*joined.schema.fields]).add("n_lines", "long").add("n_dropped", "long")
     done = joined.mapInArrow(_rewrite, schema)
-    names = [name for name in documents.columns if name not in ("n_lines", "n_dropped")]
     return done.select(
-        *[F.col("_text").alias("text") if name == "text" else F.col(f"`{name}`") for name in names],
-        F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        *[F.col("text") if name.lower() == "text" else F.col(f"row.`{name}`") for name in names], "n_lines", "n_dropped"
     )
