@@ -270,3 +270,15 @@ def test_pipeline_takes_effect(spark):
     groups = plain.near_components(once, 5, 80)
     assert all(groups[i][1] == i for i, t in once.items() if plain.spaced_words(t))
     assert [r.position for r in mixed] == sorted(r.position for r in mixed)
+
+
+def test_repeated_rows_are_mixed_as_often_as_planned(spark):
+    rows = [(1, "a b c", "s")] * 4 + [(2, "d e f g", "s"), (3, "h", "t"), (3, "h", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    planned = {}
+    for r in mix_plan(docs).collect():
+        planned[(r.doc_id, r.source)] = planned.get((r.doc_id, r.source), 0) + len(r.positions)
+    mixed = {}
+    for r in mix_documents(docs).collect():
+        mixed[(r.doc_id, r.source)] = mixed.get((r.doc_id, r.source), 0) + 1
+    assert mixed == {key: count for key, count in planned.items() if count}
