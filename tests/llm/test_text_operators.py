@@ -194,6 +194,28 @@ def test_bootstrap_discovers_identifiers_in_accepted_contexts(spark):
     assert got[20] == [(16, 23)] and got[21] == [(12, 19)] and got[22] == [] and got[0] == []
 
 
+def test_bootstrap_learns_from_and_finds_identifiers_of_several_tokens(spark):
+    rows = [(i, f"so call me at +1 (555) 010-{1000 + i} today") for i in range(8)]
+    rows += [(10 + i, f"or write to {c}@mail.example now") for i, c in enumerate("abcdefgh")]
+    hidden = {20: ("so call me at ", "0171 2345 67", ", please"), 21: ("or write to ", "jane.doe(at)host.example", " now"),
+              22: ("or write to ", "jane (at) host.example", " now"), 23: ("someone saw ", "0171 2345 67", " on paper")}
+    rows += [(i, "".join(parts)) for i, parts in hidden.items()] + [(30, "in room 12 14 there is well-known 0171 art")]
+    got = {r.doc_id: [tuple(s) for s in r.context] for r in find_personal(
+        spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, (before, value, _) in hidden.items():
+        assert got[i] == [(len(before), len(before) + len(value))], i
+    assert all(got[i] == [] for i in got if i not in hidden)
+
+
+def test_bootstrap_goes_on_until_no_pattern_is_new(spark):
+    # The instances of one pattern are known only when those of the one before have been learned.
+    said = [[f"e{i}@mail.example" for i in range(6)], *[[f"id-{k}x{i}" for i in range(6)] for k in range(1, 6)]]
+    rows = [f"see c{'abcde'[k]} is {x} now" for k in range(5) for x in said[k] + said[k + 1]]
+    got = {r.doc_id for r in find_personal(
+        spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), Bootstrap(confidence=0.5)).collect() if r.context}
+    assert got == {i for i, t in enumerate(rows) if "@" not in t}
+
+
 def test_secret_spans(spark):
     kinds = [rule.name for rule in RULES]
     found, added = scan_versions(untidy(spark, *HIDDEN))
