@@ -7,7 +7,8 @@ The candidates of all tables are merged and ranked by exact cosine in double pre
 
 Equal vectors are one class of which the smallest ids are kept: more cannot be among the nearest.
 Buckets are spread over parts of bounded size (large ones over several), and queries stream past the
-vectors of a part, so no task holds more than one part's vectors.
+vectors of a part, so no task holds more than one part's vectors.  Queries whose probed buckets hold
+too few candidates are compared with all vectors of their length, part by part.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from context_shaper.session import stage
 
 @dataclass(frozen=True)
 class Multiprobe:
-    """``hashes`` projections of cell ``width`` in each of ``tables``; ``probes`` buckets per table."""
+    """``hashes`` projections of cell ``width`` in each of ``tables``; ``probes`` buckets per table.
+    ``width`` holds for 64 dimensions and is scaled to others as a projection's deviation is."""
 
     neighbours: int = 5
     tables: int = 8
@@ -56,10 +58,11 @@ def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _projections(dimension: int, table: int, options: Multiprobe) -> tuple[np.ndarray, np.ndarray]:
+def _projections(dimension: int, table: int, options: Multiprobe) -> tuple[np.ndarray, np.ndarray, float]:
     random = np.random.default_rng((options.seed, table, dimension))
     lines = random.standard_normal((dimension, options.hashes)) / np.sqrt(dimension)
-    return lines, random.random(options.hashes) * options.width
+    width = options.width * float(np.sqrt(64 / dimension))
+    return lines, random.random(options.hashes) * width, width
 
 
 def _units(vectors: pa.Array) -> list[np.ndarray]:
@@ -88,8 +91,8 @@ def _hash(options: Multiprobe, probing: bool):
                 chosen = [i for i, unit in enumerate(units) if len(unit) == dimension]
                 matrix = np.stack([units[i] for i in chosen])
                 for table in range(options.tables):
-                    lines, shift = _projections(dimension, table, options)
-                    value = (matrix @ lines + shift) / options.width
+                    lines, shift, width = _projections(dimension, table, options)
+                    value = (matrix @ lines + shift) / width
                     cells = np.floor(value).astype(np.int64)
                     if probing:
                         inside = value - cells
@@ -173,13 +176,28 @@ def _best(query: np.ndarray, probed: np.ndarray, ready, keep: int):
     return ids[rows[order]].tolist(), score[order].tolist()
 
 
+def _compared_with_all(classes: DataFrame, short: DataFrame, parts: int, options: Multiprobe) -> DataFrame:
+    """(query, class_id, score): the best of all classes of the same length, for each of short(class_id)."""
+    # The length stands for the bucket: every vector of a part is a candidate of the queries of its length.
+    shown = classes.select("class_id", "vector", F.array(F.size("vector").cast("bigint")).alias("probed"))
+    part, block = F.pmod(F.xxhash64("class_id"), F.lit(parts)), F.lit(0).alias("block")
+    stored = shown.select(part.alias("part"), block, F.lit(False).alias("is_query"), "class_id", "vector", "probed")
+    asking = shown.join(short, "class_id").select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), block,
+        F.lit(True).alias("is_query"), "class_id", "vector", "probed",
+    )
+    together = stored.unionByName(asking).repartition("part", "block").sortWithinPartitions("part", "block", "is_query")
+    return together.mapInArrow(_search(options), "query bigint, class_id bigint, score double")
+
+
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multiprobe = Multiprobe()) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries(vec_id), the nearest other rows of
     vectors(vec_id, embedding, ...), nearest first and ties to the smaller vec_id.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do
     rows without vec_id; vectors are compared with those of the same length.  Rows that repeat both
-    vec_id and vector count once.  Queries that name no such vector have no rows.  Other columns are
+    vec_id and vector count once.  Queries that name no such vector have no rows; one has fewer rows than
+    neighbours only where fewer vectors are left.  Other columns are
     ignored; an empty table gives an empty result.
     """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -230,9 +248,20 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multipro
     together = stored.unionByName(asking).repartition("part", "block").sortWithinPartitions("part", "block", "is_query")
     found = together.mapInArrow(_search(options), "query bigint, class_id bigint, score double")
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "class_id")
-    found = found.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn(
-        "r", F.row_number().over(best)
-    ).filter(F.col("r") <= keep)
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("query", "class_id").agg(F.max("score").alias("score")).withColumn(
+            "r", F.row_number().over(best)
+        ).filter(F.col("r") <= keep).drop("r")
+
+    found = stage(nearest(found), "found")
+    members = found.join(classes.select("class_id", F.size("ids").alias("n")), "class_id").groupBy("query").agg(F.sum("n").alias("n"))
+    enough = members.filter(F.col("n") >= keep).select(F.col("query").alias("class_id"))
+    short = stage(asked.select("class_id").distinct().join(enough, "class_id", "left_anti"), "short")
+    if not short.isEmpty():
+        found = found.join(enough.withColumnRenamed("class_id", "query"), "query", "left_semi").unionByName(
+            nearest(_compared_with_all(classes, short, parts, options))
+        )
     others = found.join(classes.select("class_id", "ids"), "class_id").select(
         F.col("query").alias("asked_class"), "score", F.explode("ids").alias("vec_id")
     )

@@ -243,6 +243,37 @@ def test_few_candidates_are_all_returned(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1)]
 
 
+def test_a_query_far_from_all_gets_its_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    points = centre + 0.02 * rng.standard_normal((300, 64))
+    points[0] = -points[0] + 0.05 * rng.standard_normal(64)
+    few = rng.standard_normal((6, 48))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate([*points, *few])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest_neighbours(vectors, vectors.filter("vec_id = 0 OR vec_id >= 300"), Multiprobe(part_rows=100)).collect()
+    for query, group, first in ((0, points, 0), *[(300 + i, few, 300) for i in range(6)]):
+        units = group / np.linalg.norm(group, axis=1)[:, None]
+        score = units @ units[query - first]
+        score[query - first] = -2
+        own = sorted((r for r in got if r.query_id == query), key=lambda r: r.rank)
+        assert [r.vec_id - first for r in own] == np.argsort(-score)[:5].tolist()
+
+
+def test_recall_does_not_depend_on_the_dimension(spark):
+    points = np.random.default_rng(4).standard_normal((1200, 16))
+    units = points / np.linalg.norm(points, axis=1)[:, None]
+    vectors = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>")
+    hit = 0
+    got = nearest_neighbours(vectors, vectors.filter("vec_id % 30 = 0")).collect()
+    for query in range(0, 1200, 30):
+        score = units @ units[query]
+        score[query] = -2
+        hit += len(set(np.argsort(-score)[:5]) & {r.vec_id for r in got if r.query_id == query})
+    assert hit / 200 >= 0.9
+
+
 def test_probes_come_in_order_of_cost():
     order = probe_order(4, 40)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == 40
