@@ -52,6 +52,21 @@ def test_reruns_and_partitions_do_not_change_the_mix(spark):
     assert sorted(map(repr, first.collect())) == sorted(map(repr, again.collect()))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_short_documents_fill_what_a_long_one_leaves(spark, seed):
+    rows = [(0, "w " * 20_000, "a")] + [(1 + i, "w " * 50, "a") for i in range(400)]
+    rows += [(500 + i, "w " * 1000, "b") for i in range(60)]
+    rows += [(1000, "w " * 70, "c")] * 30 + [(1001, "w " * 9000, "c"), (1002, "w " * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mix_plan(docs, Curriculum(weights=(1.0, 2.0, 0.3, 0.1), seed=seed)).collect()
+    for source in ("a", "b", "c", None):
+        own = [r for r in plan if r.source == source]
+        taken, size, target = sum(r.taken for r in own), own[0].source_size, own[0].target
+        # What was taken as often as whole passes go can be taken once more.
+        left = [r.size for r in own if r.taken <= target // size * r.size]
+        assert taken <= target + 1e-6 and (not left or target >= 3 * size or target - taken < min(left)), source
+
+
 def test_positions_follow_the_schedules(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate("abc" * 400)]
     plan = mix_plan(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), Curriculum(weights=(1.0,))).collect()
