@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from context_shaper.llm.bit_planes import resample_to_target
 from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.mixing import mix_plan
@@ -340,3 +341,69 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample_to_target(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _half_byte_steps() -> str:
+    """What four shifts of the CRC-32 register add, for each value of the bits shifted out."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in steps]
+    return ", ".join(str(x) for x in steps)
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of a text: its bytes' hexadecimal digits one by one, the lower of a byte first."""
+    digits = (
+        f"list_transform(range(1, length(hex(encode({text}))) + 1), lambda i: "
+        f"strpos('0123456789ABCDEF', substr(hex(encode({text})), (i + 2 * (i % 2) - 1)::BIGINT, 1)) - 1)"
+    )
+    return (
+        f"xor(list_reduce(list_concat([4294967295::BIGINT], {digits}), "
+        f"lambda r, x: xor(r >> 4, [{_half_byte_steps()}][(xor(r, x) & 15) + 1])), 4294967295)"
+    )
+
+
+ORACLES["op12_importance_resampling"] = rf"""
+WITH texts AS (
+    SELECT 0 AS wanted, row_number() OVER () AS row, doc_id, text FROM documents
+    UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), worded AS (
+    SELECT wanted, row, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), []) AS w
+    FROM texts
+), features AS (
+    SELECT wanted, row, unnest(list_concat(
+        w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')),
+        list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS f
+    FROM worded
+), counted AS (
+    SELECT wanted, row, f, count(*) AS n FROM features GROUP BY ALL
+), hashed AS (
+    SELECT f, {crc32_sql("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM counted)
+), held AS (
+    SELECT wanted, row, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (f) GROUP BY ALL
+), totals AS (
+    SELECT coalesce(sum(n) FILTER (wanted = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (wanted = 1), 0)::DOUBLE AS t FROM held
+), gains AS (
+    SELECT bucket, floor(1000 * ln((sum(n) FILTER (wanted = 1) + 1)::DOUBLE * (any_value(s) + 10000)
+        / ((sum(n) FILTER (wanted = 0) + 1)::DOUBLE * (any_value(t) + 10000))))::BIGINT AS gain
+    FROM (SELECT wanted, bucket, n FROM held UNION ALL SELECT x, bucket, 0 FROM hashed, (VALUES (0), (1)) v(x)), totals
+    GROUP BY bucket
+), weighed AS (
+    SELECT row, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM held JOIN gains USING (bucket)
+    WHERE wanted = 0 GROUP BY row
+), scored AS (
+    SELECT w.doc_id, len(w.w) >= 20 AS able, coalesce(x.n_features, 0) AS n_features, coalesce(x.weight, 0) AS weight,
+        coalesce(x.weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+            / 4294967296)))::BIGINT AS score
+    FROM worded w LEFT JOIN weighed x USING (row) WHERE w.wanted = 0
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= n_able * 5 // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n_able FROM scored)
+"""
