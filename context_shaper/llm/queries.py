@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from context_shaper.llm.bit_planes import resample_to_target
 from context_shaper.llm.decontaminate import contamination
+from context_shaper.llm.fertility import judge_fertility
 from context_shaper.llm.line_dedup import line_dedup
 from context_shaper.llm.mixing import mix_plan
 from context_shaper.llm.nearest import nearest_neighbours
@@ -407,3 +408,11 @@ WITH texts AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= n_able * 5 // 100 THEN place END AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n_able FROM scored)
 """
+
+
+@query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_fertility(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )

@@ -19,6 +19,7 @@ BATCH_ROWS = 1000
 
 _rng = np.random.default_rng(20_240_517)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_CASED = _BYTES.copy()
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -90,8 +91,9 @@ def token_bounds(data: np.ndarray, edges: np.ndarray, classes: np.ndarray) -> tu
     return starts[tokens], ends[tokens]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes; spans are in order and do not overlap."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cased: bool = False) -> np.ndarray:
+    """A hash of each span of bytes; spans are in order and do not overlap.  ``cased`` tells A from a."""
+    table = _CASED if cased else _BYTES
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
@@ -100,7 +102,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low, high = int(starts[first]), int(ends[last - 1])
         size = high - low
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_BYTES[data[low:high]] * power(_BASE, size)[:size], out=sums[1:])
+        np.cumsum(table[data[low:high]] * power(_BASE, size)[:size], out=sums[1:])
         begin, end = starts[first:last] - low, ends[first:last] - low
         value = (sums[end] - sums[begin]) * power(_BASE_INVERSE, size + 1)[begin]
         out[first:last] = mix(value + (end - begin).astype(np.uint64))
