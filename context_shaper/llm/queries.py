@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from context_shaper.llm.bit_planes import resample_to_target
+from context_shaper.llm.conversation_repair import audit_conversations
 from context_shaper.llm.decontaminate import contamination
 from context_shaper.llm.fertility import judge_fertility
 from context_shaper.llm.line_dedup import line_dedup
@@ -416,3 +417,111 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut, doubled or given to the user by a hash of conversation and turn."""
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text")
+    )
+    shown = [F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")]
+    rows = rows.withColumn("fault", F.crc32(F.concat(shown[0], F.lit(":"), shown[1]).cast("binary")) % 20).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    audits = audit_conversations(damaged(conversations))
+    known = conversations.select(F.col("conv_id").alias("c")).distinct()
+    counts = [F.coalesce(name, F.lit(0)).alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return known.join(audits, known["c"].eqNullSafe(audits["conv_id"]), "left").select(
+        F.col("c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def _paid(path: str, cost: int | str, letter: str) -> str:
+    return f"{{'c': {path}.c + {cost}, 's': {path}.s || '{letter}'}}"
+
+
+def _least(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+_INSERTED = (
+    f"p0, p1, {_least('p2', *[_paid(f'p{q}', 5, 'I') for q in (0, 1, 3)])} AS p2, {_least('p3', _paid('p2', 5, 'I'))} AS p3"
+)
+_KEPT = "CASE WHEN gone THEN 1000000000 ELSE extra END + CASE WHEN initial = '{}' THEN 0 ELSE 1000000000 END"
+_REROLED = "CASE WHEN gone THEN 1000000000 ELSE extra + 1 END"
+_TO_USER = [path for q in (0, 1, 3) for path in (_paid(f"p{q}", _KEPT.format("u"), "K"), _paid(f"p{q}", _REROLED, "R"))]
+_EDITED = f"""{_paid('p0', 2, 'D')} AS p0, {_least(_paid('p1', 2, 'D'), _paid('p0', _KEPT.format('s'), 'K'))} AS p1,
+            {_least(_paid('p2', 2, 'D'), *_TO_USER)} AS p2,
+            {_least(_paid('p3', 2, 'D'), _paid('p2', _KEPT.format('a'), 'K'), _paid('p2', _REROLED, 'R'))} AS p3"""
+_SPACE = r"[\x20\x09-\x0D]"
+
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE hashed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+), faulty AS (
+    SELECT *, {crc32_sql("place")} % 20 AS fault FROM hashed
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM faulty WHERE fault <> 0
+), placed AS (
+    SELECT conv_id, turn, role, text, left(role, 1) AS initial,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i
+    FROM damaged
+), judged AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+        regexp_extract(text, '([^\x20\x09-\x0D]){_SPACE}*$', 1) AS ending,
+        coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS illegal
+    FROM placed
+), marked AS (
+    SELECT *, blank OR seen > 1 AS gone, NOT blank AND seen > 1 AS duplicate,
+        NOT blank AND seen = 1 AND ending NOT IN ('.', '!', '?') AS truncated,
+        CASE WHEN ending NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra
+    FROM judged
+), walked AS (
+    SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 's': ''}} AS p0, {{'c': 1000000000::BIGINT, 's': ''}} AS p1,
+        {{'c': 5::BIGINT, 's': 'I'}} AS p2, {{'c': 10::BIGINT, 's': 'II'}} AS p3
+    FROM (SELECT DISTINCT conv_id FROM marked)
+    UNION ALL
+    SELECT conv_id, i, {_INSERTED} FROM (SELECT conv_id, i, {_INSERTED} FROM (
+        SELECT w.conv_id, m.i, {_EDITED}
+        FROM walked w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1))
+), facts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+        count(*) FILTER (illegal) AS illegal
+    FROM marked GROUP BY conv_id
+), solved AS (
+    SELECT f.*, {_least('w.p0', 'w.p3')} AS best FROM facts f JOIN walked w ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.i = f.n
+), letters AS (
+    SELECT conv_id, unnest(range(1, length(best.s) + 1)) AS k, unnest(string_split(best.s, '')) AS letter FROM solved WHERE best.s <> ''
+), counted AS (
+    SELECT *, sum((letter <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS i,
+        sum((letter <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY k) AS o FROM letters
+), met AS (
+    SELECT c.*, CASE WHEN c.letter <> 'I' THEN m.role END AS role, CASE WHEN c.letter = 'I' THEN '' ELSE m.text END AS text,
+        max((c.o = 1 AND c.letter = 'K' AND m.initial = 's')::INT) OVER (PARTITION BY c.conv_id) AS opened
+    FROM counted c LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM c.conv_id AND m.i = c.i
+), repaired AS (
+    SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || text, chr(10) ORDER BY k) AS lines
+    FROM met WHERE letter <> 'D' GROUP BY conv_id
+)
+SELECT d.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+    coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal, coalesce(s.best.c, 0) AS cost,
+    coalesce(s.best.s, '') AS audit, sha256(coalesce(r.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d
+LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
