@@ -12,4 +12,4 @@ def test_query_matches_sql(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
