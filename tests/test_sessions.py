@@ -122,11 +122,11 @@ def some_events(n=1500):
     return [(f"s{rng.randrange(6)}", i, int(100_000 + i * 4000 * rng.random()), None if rng.random() < 0.1 else rng.randrange(50_000, 900_000)) for i in range(n)]
 
 
-def test_deep_checks_folded_or_followed(spark):
+def test_deep_checks_in_any_number_of_rounds(spark):
     rows = some_events()
     frame = spark.createDataFrame(rows, EVENTS)
     for limit in (100_000, 200, 1):
-        got = A.deep_checks(frame, A.AlertOptions(fold_rows=limit)).select("session_id", "ts", "bytes", "tokens", "warn").collect()
+        got = A.deep_checks(frame, A.AlertOptions(round_events=limit)).select("session_id", "ts", "bytes", "tokens", "warn").collect()
         assert sorted(map(tuple, got)) == decisions(rows)
 
 
