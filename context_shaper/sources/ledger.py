@@ -28,11 +28,15 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return parse_ledger(lines).withColumn("seq", F.monotonically_increasing_id())
 
 
-def check_entries(decisions: DataFrame) -> DataFrame:
-    """Ledger rows for the deep checks of the alert operator."""
+def check_entries(decisions: DataFrame, key_chars: int | None = V.SESSION_KEY_CHARS) -> DataFrame:
+    """Ledger rows for the deep checks of the alert operator.
+
+    Session ids are cut to ``key_chars``; None keeps them whole, for a ledger of so many sessions that
+    some begin alike.
+    """
+    session = F.col("session_id") if key_chars is None else F.substring("session_id", 1, key_chars)
     return decisions.filter("deep_check").select(
-        "ts", F.lit("check").alias("ev"),
-        F.substring("session_id", 1, V.SESSION_KEY_CHARS).alias("sid"),
+        "ts", F.lit("check").alias("ev"), session.alias("sid"),
         F.col("tokens").alias("tok"), "warn",
     )
 

@@ -66,16 +66,16 @@ class LedgerStore:
     def append(self, entries: DataFrame, writer: str, number: int) -> bool:
         """Add a run's entries; False if this run of this writer has been added before.
 
-        A run that broke off before ``_SUCCESS`` leaves a folder that nobody reads; it is written anew.
+        Entries of equal time are ordered by their ``seq`` if they have it.  A run that broke off before ``_SUCCESS`` leaves a folder that nobody reads; it is written anew.
         """
         path = self._part(writer, number)
         held = self._manifest()[2].get(writer, Merged())
         if held.holds(number) or folders.exists(self.spark, f"{path}/_SUCCESS"):
             return False
         fields = [name for name in entries.columns if name != "seq"]
+        line = F.col("seq") if "seq" in entries.columns else F.monotonically_increasing_id()
         placed = entries.select(
-            *fields, F.lit(writer).alias("writer"), F.lit(number).cast("bigint").alias("part"),
-            F.monotonically_increasing_id().alias("line"),
+            *fields, F.lit(writer).alias("writer"), F.lit(number).cast("bigint").alias("part"), line.alias("line")
         )
         self._write(placed, path)
         return True

@@ -269,3 +269,37 @@ def conversation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(
         F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(turn))["message"], ","), F.lit("]")).alias("body")
     )
+
+
+def session_prompts(files: DataFrame, session: Column) -> DataFrame:
+    """lines(value): two prompt events per transcript file, one without a path, one of no file, and a broken line."""
+    event = lambda ts, path: F.to_json(F.struct(F.lit(ts).alias("ts"), session.alias("session_id"), path.alias("transcript_path")))
+    path = F.col("path")
+    return files.select(F.explode(F.array(
+        event(2000, path), event(1000, path), event(500, F.lit(None).cast("string")),
+        event(600, F.concat(path, F.lit(".gone"))), F.lit("{broken"),
+    )).alias("value"))
+
+
+def remembered_sessions(files: DataFrame, session: Column) -> DataFrame:
+    """Saved state: of a third of the sessions too close to their size now, of a third from long ago."""
+    number = session.cast("bigint")
+    return files.filter(number % 3 < 2).select(
+        session.alias("session_id"), F.floor(F.col("size_bytes") / 8).cast("bigint").alias("t"),
+        F.floor(F.col("size_bytes") / F.when(number % 3 == 0, 1.2).otherwise(1.5)).cast("bigint").alias("b"),
+    )
+
+
+def owned_prompt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of growing sessions on five machines."""
+    return prompt_sizes(spark, sf_dir).withColumn("owner", F.concat(F.lit("m"), F.col("session_id").cast("bigint") % 5))
+
+
+def saved_session_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that two earlier versions left for every third session: (owner, session_id, saved, entry)."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct().filter("user_id % 3 = 0")
+    return users.select(
+        F.concat(F.lit("m"), F.col("user_id") % 5).alias("owner"), F.col("user_id").cast("string").alias("session_id"),
+        (-F.col("user_id")).cast("bigint").alias("saved"),
+        F.when(F.col("user_id") % 2 == 0, "90000").otherwise('{"t":60000,"b":400000}').alias("entry"),
+    )

@@ -300,6 +300,18 @@ SESSIONS = f"""c0 AS (SELECT conv_id, turn AS pos, role AS kind, text, {tok("tex
         coalesce(reduction, 0) AS reduction, coalesce(warn_count, 0) AS warn_count, {tokens_label("total")} AS tokens_label
         FROM c3 LEFT JOIN act ON act.sid = lpad(conv_id::VARCHAR, 12, '0'))"""
 
+FILE_REPORT = f"""{TRANSCRIPT}, f0 AS (SELECT *, {tok("text")} + 4 AS tokens, CASE WHEN length(text) >= 100 THEN sha1({norm("text")}) END AS h FROM w),
+    f1 AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, h) AS first, count(*) OVER (PARTITION BY conv_id) AS n FROM f0),
+    f2 AS (SELECT session, conv_id, 'p' || (conv_id % 4) AS project, CASE WHEN conv_id % 3 = 0 THEN 'my talk ' ELSE 'talk ' END || conv_id AS title,
+        max(CASE WHEN r = 'assistant' THEN {model_of("conv_id")} END) AS model, sum(tokens)::BIGINT AS total_tokens, count(*) AS turns,
+        sum(CASE WHEN h IS NOT NULL AND turn > first THEN tokens - 4 ELSE 0 END)::BIGINT AS dup,
+        sum(CASE WHEN turn < n // 2 THEN tokens ELSE 0 END) AS older FROM f1 GROUP BY ALL),
+    f3 AS (SELECT *, (dup + CASE WHEN turns > 4 THEN {half_up("older::DOUBLE * 0.7::DOUBLE")} ELSE 0 END)::BIGINT AS savings FROM f2),
+    {LEDGER}, {ACTIVITY},
+    fr AS (SELECT session AS sid, project, title, f3.model, total_tokens, savings AS total_est_savings, {pct("savings", "total_tokens")} AS waste_pct,
+        savings::DOUBLE / 1e6::DOUBLE * {price("f3.model")} AS waste_usd, coalesce(reduction, 0) AS reduction, coalesce(warn_count, 0) AS warn_count
+        FROM f3 LEFT JOIN act ON act.sid = session)"""
+
 
 def docs(select: str, *ctes: str, text: str = "text") -> str:
     return "WITH " + ", ".join([documents(text), *ctes]) + " " + select
@@ -526,4 +538,40 @@ ORACLES: dict[str, str] = {
         "SELECT conv_id, total AS total_tokens, total AS grown, n AS message_count, turns AS turn_count FROM tot", TOTALS
     ),
     "watched_findings": docs(f"({LARGE}) UNION ALL ({BLOBS}) UNION ALL ({COPIES}) UNION ALL ({LONG})", TOTALS),
+    "gated_session_checks": f"""WITH {TRANSCRIPT}, w2 AS (SELECT *, {model_of("conv_id")} AS mdl FROM w), {FILE_LINES},
+        sz AS (SELECT session, sum(b)::BIGINT AS bytes FROM sizes GROUP BY session),
+        tk AS (SELECT session, sum({tok("text")} + 4)::BIGINT AS tokens FROM w GROUP BY session),
+        st AS (SELECT *, session::BIGINT % 3 AS third FROM sz JOIN tk USING (session) WHERE bytes >= 1200),
+        kn AS (SELECT *, CASE WHEN third = 2 THEN 0 ELSE bytes // 8 END AS t,
+          CASE third WHEN 0 THEN floor(bytes::DOUBLE / 1.2::DOUBLE)::BIGINT WHEN 1 THEN floor(bytes::DOUBLE / 1.5::DOUBLE)::BIGINT ELSE 0 END AS b FROM st)
+        SELECT session AS session_id, 1000 AS ts, bytes, tokens, (tokens >= 300 AND tokens::DOUBLE >= t::DOUBLE * 1.4::DOUBLE)::INT AS warn
+        FROM kn WHERE b = 0 OR bytes::DOUBLE >= b::DOUBLE * 1.4::DOUBLE""",
+    "running_request_totals": f"""WITH {REQUESTS} SELECT k AS trigger, {REQUEST_TOTALS.replace("SELECT ", "", 1).replace(
+        "FROM rr GROUP BY upstream", "FROM rr JOIN (VALUES (0), (1), (2)) v(k) ON request_id::BIGINT % 3 <= k GROUP BY upstream, k")}""",
+    "compacted_ledger": f"""WITH {LEDGER}, e AS (SELECT ts, CASE WHEN is_run THEN 'optimize' ELSE 'check' END AS ev, sid, CASE WHEN NOT is_run THEN amount END AS tok,
+        CASE WHEN NOT is_run THEN warn::INT END AS warn, CASE WHEN is_run THEN 'cli' END AS src, CASE WHEN is_run THEN amount END AS saved,
+        CASE WHEN is_run THEN model END AS model, seq, CASE seq % 3 WHEN 1 THEN 'b' ELSE 'a' END AS writer, (seq % 3 // 2)::BIGINT AS part FROM g)
+        SELECT * EXCLUDE (seq) FROM (SELECT * FROM e WHERE seq % 3 < 2 ORDER BY ts DESC, writer DESC, part DESC, seq DESC LIMIT 500)
+        UNION ALL SELECT * EXCLUDE (seq) FROM e WHERE seq % 3 = 2""",
+    "owned_checks": f"""WITH RECURSIVE {PROMPTS.split(", cb AS")[0].split("cb AS")[0].rstrip().rstrip(",")},
+        ow AS (SELECT 'm' || (session_id::BIGINT % 5) AS owner, * FROM ca),
+        oe AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY ts, session_id, bytes, tokens) AS rn FROM ow),
+        sv AS (SELECT DISTINCT 'm' || (user_id % 5) AS owner, {{'touched': -user_id, 's': user_id::VARCHAR,
+          't': CASE WHEN user_id % 2 = 0 THEN 90000 ELSE 60000 END::BIGINT, 'b': CASE WHEN user_id % 2 = 0 THEN 0 ELSE 400000 END::BIGINT}} AS x
+          FROM events WHERE user_id % 3 = 0),
+        s0 AS (SELECT o.owner, list(x ORDER BY x) FILTER (x IS NOT NULL) AS st FROM (SELECT DISTINCT owner FROM oe) o LEFT JOIN sv ON sv.owner = o.owner GROUP BY o.owner),
+        wk AS (SELECT owner, 0::BIGINT AS rn, coalesce(st[greatest(len(st) - 7, 1):len(st)], []) AS st, NULL::VARCHAR AS session_id, NULL::BIGINT AS ts,
+            NULL::BIGINT AS bytes, NULL::BIGINT AS tokens, false AS checked, false AS warn FROM s0
+          UNION ALL
+          SELECT owner, rn, CASE WHEN NOT checked THEN st WHEN len(nx) > 8 THEN list_sort(nx)[2:len(nx)] ELSE nx END, session_id, ts, bytes, tokens, checked, warn FROM (
+            SELECT *, list_append(list_filter(st, lambda x: x.s <> session_id), {{'touched': ts, 's': session_id, 't': CASE WHEN warn THEN tokens ELSE t END, 'b': bytes}}) AS nx FROM (
+              SELECT *, b = 0 OR bytes::DOUBLE >= b::DOUBLE * 1.4::DOUBLE AS checked, tokens >= 80000 AND tokens::DOUBLE >= t::DOUBLE * 1.4::DOUBLE AS warn FROM (
+                SELECT wk.owner, oe.rn, wk.st, oe.session_id, oe.ts, oe.bytes, oe.tokens,
+                  coalesce(list_filter(wk.st, lambda x: x.s = oe.session_id)[1].t, 0) AS t, coalesce(list_filter(wk.st, lambda x: x.s = oe.session_id)[1].b, 0) AS b
+                FROM wk JOIN oe ON oe.owner = wk.owner AND oe.rn = wk.rn + 1))))
+        SELECT owner, session_id, ts, bytes, tokens, warn::INT AS warn FROM wk WHERE checked""",
+    "transcript_report": f"WITH {FILE_REPORT} SELECT * REPLACE (round(waste_usd, 9) AS waste_usd) FROM fr",
+    "fleet_rollup": f"""WITH {FILE_REPORT} SELECT grouping(project) + grouping(model) AS level, project, model, count(*) AS session_count,
+        sum(total_tokens)::BIGINT AS total_tokens, sum(total_est_savings)::BIGINT AS total_waste, round(coalesce(sum(waste_usd), 0), 8) AS waste_usd,
+        {pct("sum(total_est_savings)", "sum(total_tokens)")} AS waste_pct FROM fr GROUP BY ROLLUP (project, model)""",
 }

@@ -5,7 +5,8 @@ Columns are plain values (lists become text) so that results compare across engi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -15,13 +16,20 @@ from context_shaper.operators import alerts as A, findings as N, impact as I, re
 from context_shaper.operators.measure import FEATURES, measure
 from context_shaper.operators.normalize import conversations, normalize
 from context_shaper.operators.writeback import rewrite_documents
-from context_shaper.plans import optimize as O, profile as P, requests as Q
+from context_shaper.plans import optimize as O, profile as P, requests as Q, sessions as E
 from context_shaper.session import new_shared_path, stage
 from context_shaper.sources import ledger as L, sinks, transcripts as C
 from context_shaper.sources.documents import open_documents
-from context_shaper.sources.requests import rejected, route
-from context_shaper.streaming.alerts import deep_check_stream
-from context_shaper.streaming.requests import RESULT_SCHEMA, optimize_request_stream
+from context_shaper.sources.ledger_store import LedgerStore
+from context_shaper.sources.requests import prompt_events, rejected, route
+from context_shaper.streaming.alerts import deep_check_stream, ledger_sink, owned_check_stream
+from context_shaper.streaming.requests import (
+    RESULT_SCHEMA,
+    optimize_request_stream,
+    request_result_stream,
+    running_totals,
+    running_totals_stream,
+)
 from context_shaper.streaming.watch import (
     watch_long_histories,
     watch_repeats,
@@ -415,6 +423,18 @@ def retained_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("warn", F.col("warn").cast("int"))
 
 
+@query
+def compacted_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers' parts cut to the last entries, a part added after that, and one that is repeated."""
+    entries, store = W.ledger(spark, sf_dir), LedgerStore(spark, new_shared_path(spark, "ledger"))
+    for writer, number, third in (("a", 0, 0), ("b", 0, 1)):
+        store.append(entries.filter(F.col("seq") % 3 == third), writer, number)
+    store.compact(max_bytes=1000)
+    for number, third in ((1, 2), (0, 0)):  # the second of these has been added before
+        store.append(entries.filter(F.col("seq") % 3 == third), "a", number)
+    return store.read().select("ts", "ev", "sid", "tok", F.col("warn").cast("int").alias("warn"), "src", "saved", "model", "writer", "part")
+
+
 @query
 def optimize_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger lines that rewriting runs leave behind, written and read back."""
@@ -433,15 +453,18 @@ def staged_transcripts(spark: SparkSession, sf_dir: str) -> str:
     if key in _transcripts:
         return _transcripts[key]
     path = new_shared_path(spark, "transcripts")
-    lines = W.transcript_lines(spark, sf_dir)
+    write_transcripts(W.transcript_lines(spark, sf_dir), path)
+    _transcripts[key] = path
+    return path
+
+
+def write_transcripts(lines: DataFrame, path: str) -> None:
     (
         lines.repartition("project", "session")
         .sortWithinPartitions("project", "session", "turn", "part")
         .select("project", "session", "value")
-        .write.partitionBy("project", "session").text(path)
+        .write.mode("append").partitionBy("project", "session").text(path)
     )
-    _transcripts[key] = path
-    return path
 
 
 def session_of(path: Column) -> Column:
@@ -480,6 +503,47 @@ def recent_session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent_sessions(rows).agg(F.count(F.lit(1)).alias("sessions"))
 
 
+@query
+def gated_session_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt events checked against transcripts; files that are small or have not grown are not opened."""
+    root, session = f"{staged_transcripts(spark, sf_dir)}/*", session_of(F.col("path"))
+    files = C.session_inventory(spark, root, limit=None, pattern="*.txt")
+    prompts = prompt_events(W.session_prompts(files, session))
+    options = A.AlertOptions(warn_tokens=300)
+    found = E.check_sessions(spark, root, prompts, W.remembered_sessions(files, session), options, "*.txt")
+    return found.checks.select("session_id", "ts", "bytes", "tokens", F.col("warn").cast("int").alias("warn"))
+
+
+def transcript_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over transcripts that came in two lots; the second refresh reads the second lot only."""
+    path = new_shared_path(spark, "projects")
+    profiles = E.ProfileTable(spark, f"{path}/profiles")
+    names = {"project": F.regexp_extract("path", "project=([^/]+)", 1), "session_key": session_of(F.col("path"))}
+    options = {"limits": N.Thresholds(long_history_turns=4), "duplicate_min_chars": 100, "names": names}
+    lines = W.transcript_lines(spark, sf_dir)
+    for number in range(2):
+        write_transcripts(lines.filter(F.col("session").cast("bigint") % 2 == number), f"{path}/files")
+        if number == 0:
+            profiles.refresh(f"{path}/files/*", "*.txt", **options)
+    activity = I.session_activity(W.ledger(spark, sf_dir))
+    return E.report_from_files(profiles, f"{path}/files/*", activity, "*.txt", **options)
+
+
+@query
+def transcript_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript_report_rows(spark, sf_dir).select(
+        "sid", "project", "title", "model", "total_tokens", "total_est_savings", "waste_pct",
+        F.round("waste_usd", 9).alias("waste_usd"), "reduction", "warn_count",
+    )
+
+
+@query
+def fleet_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the same report by project and model, by project, and of all."""
+    totals = I.fleet_rollup(transcript_report_rows(spark, sf_dir), ["project", "model"])
+    return totals.withColumn("waste_usd", F.round("waste_usd", 8)).withColumn("level", F.col("level").cast("bigint"))
+
+
 def session_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles of conversations, the sessions they stand for, and their findings by conversation."""
     messages = W.conversation_messages(spark, sf_dir).withColumn(
@@ -558,19 +622,28 @@ def as_stream(rows: DataFrame, label: str, order: str | None = None) -> DataFram
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Start streams with the state store that keyed state needs, and leave the session as it was."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over what is there now and return its output table."""
     spark = stream.sparkSession
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     path = new_shared_path(spark, label)
-    run = (
-        stream.writeStream.format("parquet").option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    with state_store(spark):
+        run = (
+            stream.writeStream.format("parquet").option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -604,13 +677,37 @@ def streamed_deep_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def alert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledger lines that the alert stream leaves behind."""
-    stream = as_stream(W.prompt_sizes(spark, sf_dir), "prompts", "ts")
-    rows = L.check_entries(drain(deep_check_stream(stream), "deep-checks"))
-    path = new_shared_path(spark, "ledger")
-    L.append_ledger(rows, path)
-    return L.read_ledger(spark, path).select(
-        "ts", "ev", "sid", "tok", F.col("warn").cast("int").alias("warn")
+    """Ledger lines that the alert stream adds from within, a part per trigger."""
+    checks = deep_check_stream(as_stream(W.prompt_sizes(spark, sf_dir), "prompts", "ts"))
+    path = new_shared_path(spark, "alerts")
+    store = LedgerStore(spark, f"{path}/ledger")
+    with state_store(spark):
+        ledger_sink(checks, store, "alerts", f"{path}/checks", f"{path}/checkpoint").awaitTermination()
+    return store.read().select("ts", "ev", "sid", "tok", F.col("warn").cast("int").alias("warn"))
+
+
+@query
+def owned_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks when a machine remembers its last eight sessions, begun with the state of earlier versions."""
+    stream = as_stream(W.owned_prompt_sizes(spark, sf_dir), "prompts", "ts")
+    old = A.migrate_owned_state(W.saved_session_entries(spark, sf_dir), "saved")
+    rows = drain(owned_check_stream(stream, keep=8, initial_state=old), "owned-checks")
+    return rows.select("owner", "session_id", "ts", "bytes", "tokens", F.col("warn").cast("int").alias("warn"))
+
+
+@query
+def running_request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals since the start after each of three triggers; both streams end and go on from their checkpoints."""
+    requests, path = W.requests(spark, sf_dir), new_shared_path(spark, "running")
+    for number in range(3):
+        arrived = requests.filter(F.col("request_id").cast("bigint") % 3 == number)
+        arrived.write.mode("append").parquet(f"{path}/requests")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{path}/requests")
+        optimize_request_stream(stream, f"{path}/results", f"{path}/first").awaitTermination()
+        results = request_result_stream(spark, f"{path}/results")
+        running_totals_stream(results, f"{path}/totals", f"{path}/second", ["upstream"]).awaitTermination()
+    return running_totals(spark, f"{path}/totals").withColumnRenamed("batch_id", "trigger").withColumn(
+        "usd_saved", F.round("usd_saved", 8)
     )
 
 
