@@ -37,6 +37,19 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(entry.getPath().getName() for entry in system.listStatus(place) if entry.isFile())
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path fits a pattern."""
+    place, system = _place(spark, pattern)
+    return bool(system.globStatus(place))
+
+
+def stat(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Length and modification time (milliseconds) of a file."""
+    place, system = _place(spark, path)
+    status = system.getFileStatus(place)
+    return status.getLen(), status.getModificationTime()
+
+
 def size(spark: SparkSession, path: str) -> int:
     place, system = _place(spark, path)
     return system.getContentSummary(place).getLength()

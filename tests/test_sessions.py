@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -58,7 +59,12 @@ def test_transcripts(spark, projects):
 
 def test_inventory(spark, projects):
     files = C.session_inventory(spark, str(projects)).collect()
-    assert sorted(f.path.split("/")[-1] for f in files) == ["0123456789abcdef.jsonl", "big.jsonl"]
+    assert sorted(f.path.split("/")[-1] for f in files) == ["0123456789abcdef.jsonl", "big.jsonl", "empty.jsonl"]
+    assert [f.path for f in files] == [f.path for f in sorted(files, key=lambda f: (-f.modified_at.timestamp(), f.path))]
+    assert [(f.project, f.size_bytes) for f in files if f.path.endswith("empty.jsonl")] == [("p2", 0)]
+    os.utime(projects / "p2" / "empty.jsonl", (2e9, 2e9))
+    assert [f.session_key for f in C.session_inventory(spark, str(projects), limit=1).collect()] == ["empty.jsonl"]
+    assert C.session_inventory(spark, str(projects / "none")).count() == 0
     rows = spark.createDataFrame([(f"f{i}", i, 10 if i % 2 else 99) for i in range(20)], "path string, modified_at int, size_bytes int")
     assert sorted(r.path for r in C.recent_sessions(rows, 8, 50).collect()) == ["f13", "f15", "f17", "f19"]
 

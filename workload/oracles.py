@@ -574,4 +574,10 @@ ORACLES: dict[str, str] = {
     "fleet_rollup": f"""WITH {FILE_REPORT} SELECT grouping(project) + grouping(model) AS level, project, model, count(*) AS session_count,
         sum(total_tokens)::BIGINT AS total_tokens, sum(total_est_savings)::BIGINT AS total_waste, round(coalesce(sum(waste_usd), 0), 8) AS waste_usd,
         {pct("sum(total_est_savings)", "sum(total_tokens)")} AS waste_pct FROM fr GROUP BY ROLLUP (project, model)""",
+    "newest_sessions": f"""WITH {TRANSCRIPT}, w2 AS (SELECT *, {model_of("conv_id")} AS mdl FROM w), {FILE_LINES}
+        SELECT * FROM (SELECT session, sum(b)::BIGINT AS size_bytes FROM sizes GROUP BY session ORDER BY session DESC LIMIT 18)
+        UNION ALL VALUES ('empty-1', 0), ('empty-2', 0)""",
+    "recent_small_sessions": f"""WITH {TRANSCRIPT}, w2 AS (SELECT *, {model_of("conv_id")} AS mdl FROM w), {FILE_LINES}
+        SELECT * FROM (SELECT session, sum(b)::BIGINT AS size_bytes FROM sizes GROUP BY session ORDER BY session DESC LIMIT 6)
+        WHERE size_bytes <= 3000 UNION ALL VALUES ('empty-1', 0), ('empty-2', 0)""",
 }

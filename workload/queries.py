@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from context_shaper import fixed_values as V
 from context_shaper.functions import display as D, models as M, text as T
@@ -18,7 +18,7 @@ from context_shaper.operators.normalize import conversations, normalize
 from context_shaper.operators.writeback import rewrite_documents
 from context_shaper.plans import optimize as O, profile as P, requests as Q, sessions as E
 from context_shaper.session import new_shared_path, stage
-from context_shaper.sources import ledger as L, sinks, transcripts as C
+from context_shaper.sources import folders, ledger as L, sinks, transcripts as C
 from context_shaper.sources.documents import open_documents
 from context_shaper.sources.ledger_store import LedgerStore
 from context_shaper.sources.requests import prompt_events, rejected, route
@@ -503,6 +503,32 @@ def recent_session_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.recent_sessions(rows).agg(F.count(F.lit(1)).alias("sessions"))
 
 
+def late_transcripts(spark: SparkSession, sf_dir: str, late: int) -> str:
+    """Transcripts written anew, those of the ``late`` last conversations after all others, and two empty files."""
+    lines, path = W.transcript_lines(spark, sf_dir), new_shared_path(spark, "late")
+    order = F.row_number().over(Window.orderBy(F.desc("session")))
+    last = lines.select("session").distinct().withColumn("late", order <= late)
+    for late_ones in (False, True):
+        write_transcripts(lines.join(last.filter(F.col("late") == late_ones), "session"), path)
+    for name in ("empty-1", "empty-2"):
+        folders.create_text(spark, f"{path}/project=p0/session={name}/part.txt", "")
+    return f"{path}/*"
+
+
+@query
+def newest_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty files written last, two of which hold nothing."""
+    rows = C.session_inventory(spark, late_transcripts(spark, sf_dir, 18), pattern="*.txt")
+    return rows.select(session_of(F.col("path")).alias("session"), "size_bytes")
+
+
+@query
+def recent_small_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the eight files written last those of at most 3,000 bytes."""
+    files = C.session_inventory(spark, late_transcripts(spark, sf_dir, 6), limit=None, pattern="*.txt")
+    return C.recent_sessions(files, max_bytes=3000).select(session_of(F.col("path")).alias("session"), "size_bytes")
+
+
 @query
 def gated_session_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt events checked against transcripts; files that are small or have not grown are not opened."""
@@ -521,9 +547,11 @@ def transcript_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"project": F.regexp_extract("path", "project=([^/]+)", 1), "session_key": session_of(F.col("path"))}
     options = {"limits": N.Thresholds(long_history_turns=4), "duplicate_min_chars": 100, "names": names}
     lines = W.transcript_lines(spark, sf_dir)
+    silent = lines.filter((F.col("part") == 0) & (F.col("turn") == 0)).withColumn("session", F.concat("session", F.lit("s")))
     for number in range(2):
         write_transcripts(lines.filter(F.col("session").cast("bigint") % 2 == number), f"{path}/files")
         if number == 0:
+            write_transcripts(silent, f"{path}/files")  # only a title each: no message, so not in the report
             profiles.refresh(f"{path}/files/*", "*.txt", **options)
     activity = I.session_activity(W.ledger(spark, sf_dir))
     return E.report_from_files(profiles, f"{path}/files/*", activity, "*.txt", **options)
