@@ -36,6 +36,8 @@ def projects(tmp_path):
     (tmp_path / "p1" / "0123456789abcdef.jsonl").write_text("\n".join(first))
     (tmp_path / "p2" / "big.jsonl").write_text("\n".join(line("user", f"message {i} " + "x" * 200) for i in range(3000)))
     (tmp_path / "p2" / "empty.jsonl").write_text("")
+    (tmp_path / "p2" / "a b+c%20.jsonl").write_text("{}")
+    (tmp_path / "p2" / "d e+f%20.jsonl").write_text("")
     (tmp_path / "p2" / "notes.txt").write_text("no transcript")
     return tmp_path
 
@@ -59,7 +61,7 @@ def test_transcripts(spark, projects):
 
 def test_inventory(spark, projects):
     files = C.session_inventory(spark, str(projects)).collect()
-    assert sorted(f.path.split("/")[-1] for f in files) == ["0123456789abcdef.jsonl", "big.jsonl", "empty.jsonl"]
+    assert sorted(f.path.split("/")[-1] for f in files) == ["0123456789abcdef.jsonl", "a b+c%20.jsonl", "big.jsonl", "d e+f%20.jsonl", "empty.jsonl"]
     assert [f.path for f in files] == [f.path for f in sorted(files, key=lambda f: (-f.modified_at.timestamp(), f.path))]
     assert [(f.project, f.size_bytes) for f in files if f.path.endswith("empty.jsonl")] == [("p2", 0)]
     os.utime(projects / "p2" / "empty.jsonl", (2e9, 2e9))

@@ -243,6 +243,7 @@ def test_gated_checks_equal_reading_everything(spark, tmp_path):
     sizes = [1, 5, 10, 20, 40, 80, 30, 30]
     for i, size in enumerate(sizes):
         talk(tmp_path / "p" / f"session-{i}.jsonl", size)
+    talk(tmp_path / "p" / "odd +%20name.jsonl", 90)
     (tmp_path / "p" / "empty-but-large.jsonl").write_text("{}\n" * 3000)
     options = A.AlertOptions(warn_tokens=800)
     files = C.session_inventory(spark, str(tmp_path), limit=None)
@@ -257,7 +258,9 @@ def test_gated_checks_equal_reading_everything(spark, tmp_path):
         "session_id string, t bigint, b bigint",
     )
     found = check_sessions(spark, str(tmp_path), prompts, state, options)
-    assert {path.split("/")[-1][:-6] for path in found.paths} == {"session-3", "session-4", "session-5", "session-6", "empty-but-large"}
+    assert {path.split("/")[-1][:-6] for path in found.paths} == {
+        "session-3", "session-4", "session-5", "session-6", "empty-but-large", "odd +%20name"
+    }
 
     messages = C.transcript_messages(C.transcript_entries(spark, str(tmp_path)))
     totals = conversation_totals(measure(messages, ("tokens",))).select(F.col("conv_id").alias("path"), "total_tokens")
