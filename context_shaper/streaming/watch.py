@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -32,6 +33,7 @@ _PARTIAL = "conv_id string, model string, messages bigint, tokens bigint, turns
 _STATUS = (
     "conv_id string, model string, total_tokens bigint, delta bigint, message_count bigint, turn_count bigint"
 )
+HISTORY_CHUNK = 4096
 _REPEAT = "conv_id string, first_index bigint, msg_index bigint, tokens bigint"
 
 
@@ -77,7 +79,11 @@ class TotalsProcessor(StatefulProcessor):
 
 
 class RepeatsProcessor(StatefulProcessor):
-    """First position per (conversation, text hash); every later copy is emitted once."""
+    """First position per (conversation, text hash); every later copy is emitted once.
+
+    What was emitted stays: a text that arrives in a later trigger than a copy of it with a greater index
+    is reported as the copy, where a batch over all messages reports the other one.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._first = handle.getValueState("first", "msg_index bigint")
@@ -101,10 +107,38 @@ class RepeatsProcessor(StatefulProcessor):
         pass
 
 
+def _chunks(size: int):
+    """Messages of one Arrow batch as a row per (conversation, chunk of positions), sizes packed."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [
+                (conv, int(chunk), int(part["is_turn"].sum()), _packed(part["pos"].to_numpy() % size, part["tokens"].to_numpy()))
+                for (conv, chunk), part in frame.groupby(["conv_id", frame["pos"] // size], sort=False)
+            ]
+            yield pd.DataFrame(found, columns=["conv_id", "chunk", "turns", "sizes"])
+
+    return run
+
+
+def _packed(places: np.ndarray, tokens: np.ndarray) -> bytes:
+    """Places in a chunk and token counts, eight bytes a message."""
+    if len(tokens) and tokens.max() >= 1 << 32:
+        raise ValueError("a message of 2**32 tokens and more")
+    return np.stack([places.astype(np.uint32), tokens.astype(np.uint32)], axis=1).tobytes()
+
+
+def _unpacked(sizes: bytes) -> np.ndarray:
+    return np.frombuffer(sizes, np.uint32).reshape(-1, 2).astype(np.int64)
+
+
 class HistoryProcessor(StatefulProcessor):
     """Reports a conversation once, in the trigger in which its turns exceed the limit.
 
-    Token counts per position are kept only until then.
+    Keys have two levels: the conversation, and inside it chunks of positions.  A trigger reads and writes
+    the chunks it has messages of; a chunk is one entry of eight bytes a message.  The report adds
+    the chunks' sums up to the middle and opens the one chunk that the middle is in.  State goes
+    when a conversation is reported, so it holds conversations of few turns only.
     """
 
     def __init__(self, turns: int) -> None:
@@ -112,20 +146,41 @@ class HistoryProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._progress = handle.getValueState("progress", "turns bigint, reported boolean")
-        self._tokens = handle.getMapState("tokens", "pos bigint", "tokens bigint")
+        self._sums = handle.getMapState("sums", "chunk bigint", "messages bigint, tokens bigint")
+        self._sizes = handle.getMapState("sizes", "chunk bigint", "packed binary")
+
+    def _add(self, chunk: int, sizes: bytes) -> None:
+        messages, tokens = self._sums.getValue((chunk,)) if self._sums.containsKey((chunk,)) else (0, 0)
+        before = bytes(self._sizes.getValue((chunk,))[0]) if messages else b""
+        added = _unpacked(sizes)
+        self._sums.updateValue((chunk,), (int(messages) + len(added), int(tokens) + int(added[:, 1].sum())))
+        self._sizes.updateValue((chunk,), (before + sizes,))
+
+    def _older(self) -> int:
+        """Tokens of the first half of the messages, by position."""
+        sums = sorted((key[0], *map(int, value)) for key, value in self._sums.iterator())
+        left, older = sum(messages for _, messages, _ in sums) // 2, 0
+        for chunk, messages, tokens in sums:
+            if messages > left:
+                sizes = _unpacked(bytes(self._sizes.getValue((chunk,))[0]))
+                return older + int(sizes[np.argsort(sizes[:, 0], kind="stable")[:left], 1].sum())
+            left, older = left - messages, older + tokens
+        return older
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         turns, reported = self._progress.get() if self._progress.exists() else (0, False)
+        arrived: dict[int, list[bytes]] = {}
         for part in rows if not reported else ():
-            turns += int(part["is_turn"].sum())
-            for pos, tokens in zip(part["pos"], part["tokens"], strict=True):
-                self._tokens.updateValue((int(pos),), (int(tokens),))
+            turns += int(part["turns"].sum())
+            for chunk, sizes in zip(part["chunk"], part["sizes"], strict=True):
+                arrived.setdefault(int(chunk), []).append(bytes(sizes))
+        for chunk, sizes in arrived.items():
+            self._add(chunk, b"".join(sizes))
         found = not reported and turns > self._limit
-        older = 0
+        older = self._older() if found else 0
         if found:
-            sizes = sorted((pos[0], tokens[0]) for pos, tokens in self._tokens.iterator())
-            older = sum(tokens for _, tokens in sizes[: len(sizes) // 2])
-            self._tokens.clear()
+            self._sums.clear()
+            self._sizes.clear()
         self._progress.update((turns, bool(reported or found)))
         count = 1 if found else 0
         report = pd.DataFrame({
@@ -137,12 +192,15 @@ class HistoryProcessor(StatefulProcessor):
         pass
 
 
-def watch_long_histories(measured: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+def watch_long_histories(
+    measured: DataFrame, limits: Thresholds = Thresholds(), chunk_rows: int = HISTORY_CHUNK
+) -> DataFrame:
     """Long-history findings, each conversation once, with the savings at that moment."""
     narrow = measured.select(
         "conv_id", "pos", "tokens", F.col("kind").isin("user", "assistant").cast("int").alias("is_turn")
     )
-    found = narrow.groupBy("conv_id").transformWithStateInPandas(
+    chunked = narrow.mapInPandas(_chunks(chunk_rows), "conv_id string, chunk bigint, turns bigint, sizes binary")
+    found = chunked.groupBy("conv_id").transformWithStateInPandas(
         statefulProcessor=HistoryProcessor(limits.long_history_turns),
         outputStructType="conv_id string, turn_count bigint, older_tokens bigint",
         outputMode="Append", timeMode="None",

@@ -26,6 +26,7 @@ from context_shaper.streaming.requests import (
     running_totals,
     running_totals_stream,
 )
+from context_shaper.streaming.watch import watch_long_histories, watch_repeats
 from tests import fixtures as X
 from workload.queries import drain, state_store
 
@@ -311,3 +312,48 @@ def test_refresh_reads_only_what_changed(spark, tmp_path):
     assert {r.grouping for r in I.fleet_cube(report, ["project", "model"]).collect()} == {0, 1, 2, 3}
     table.compact(C.session_inventory(spark, str(root), limit=None))
     assert table.refresh(str(root)).read == [] and table.stored().count() == 5
+
+
+# --- a hot conversation ------------------------------------------------------------------------------
+
+
+def test_history_of_a_hot_conversation(spark):
+    """A million messages of one conversation in three triggers, most of them tool results; then the turns come."""
+    schema, path, count = "conv_id string, pos bigint, tokens bigint, kind string", new_shared_path(spark, "hot"), 1_000_000
+    rows = spark.range(count).select(
+        F.lit("hot").alias("conv_id"), F.col("id").alias("pos"), (F.col("id") * 7919 % 1000).alias("tokens"),
+        F.when(F.col("id") % 25_000 == 0, "user").otherwise("tool_result").alias("kind"),
+    )
+    extra = spark.createDataFrame([("hot", count + i, 5, "user") for i in range(3)], schema)
+    cold = spark.range(50).select(F.lit("cold").alias("conv_id"), F.col("id").alias("pos"), F.lit(2).cast("bigint").alias("tokens"), F.lit("user").alias("kind"))
+    parts = [rows.filter("pos >= 700000"), rows.filter("pos < 400000"), rows.filter("pos BETWEEN 400000 AND 699999"), extra.unionByName(cold)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = {r.conv_id: r for r in drain(watch_long_histories(stream), "history").collect()}
+    half = sum(i * 7919 % 1000 for i in range((count + 3) // 2))
+    assert found["hot"].message == f"Conversation has 43 turns; the older half holds ~{half} tokens."
+    assert found["cold"].est_savings == 35 and len(found) == 2
+
+
+def test_chunks_of_any_size_give_the_same_report(spark):
+    rng, schema = random.Random(2), "conv_id string, pos bigint, tokens bigint, kind string"
+    rows = [(c, i, rng.randrange(500), rng.choice(["user", "assistant", "tool_result"])) for c in "abc" for i in range(90)]
+    rng.shuffle(rows)
+    reports = set()
+    for size in (1, 7, 4096):
+        path = new_shared_path(spark, "chunks")
+        for i in range(3):
+            spark.createDataFrame(rows[90 * i : 90 * i + 90], schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        reports.add(tuple(sorted((r.conv_id, r.message) for r in drain(watch_long_histories(stream, chunk_rows=size), "history").collect())))
+    assert len(reports) == 1 and len(next(iter(reports))) == 3
+
+
+def test_copies_that_arrive_out_of_order(spark):
+    """The first copy is the least of the first trigger that has one; nothing is reported twice."""
+    schema, path = "conv_id string, content_key string, msg_index bigint, tokens bigint", new_shared_path(spark, "late")
+    for part in ([("c", "k", 5, 10), ("c", "k", 3, 10)], [("c", "k", 1, 10), ("c", "k", 9, 10)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert sorted(tuple(r.messages) for r in drain(watch_repeats(stream), "repeats").collect()) == [(3, 1), (3, 5), (3, 9)]

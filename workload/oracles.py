@@ -204,6 +204,14 @@ LONG = finding(
     "'Conversation has ' || turns || ' turns; the older half holds ~' || older || ' tokens.'", "''",
     "FROM (SELECT tot.conv_id, turns, sum(tokens)::BIGINT AS older FROM tot JOIN m ON m.conv_id = tot.conv_id AND pos < n // 2 WHERE turns > 40 GROUP BY ALL)",
 )
+WATCHED_LONG = finding(
+    "long_history", "'warn'", half_up("older::DOUBLE * 0.7::DOUBLE"),
+    "'Conversation has ' || turns || ' turns; the older half holds ~' || older || ' tokens.'", "''",
+    """FROM (SELECT conv_id, turns, (SELECT sum(tokens)::BIGINT FROM m WHERE m.conv_id = c.conv_id AND pos < c.n // 2) AS older FROM (
+        SELECT m.conv_id, cut, count(*) AS n, count(*) FILTER (kind IN ('user', 'assistant')) AS turns
+        FROM m JOIN (VALUES (20), (60), (1000000000)) v(cut) ON pos < cut GROUP BY m.conv_id, cut
+        HAVING turns > 40 QUALIFY row_number() OVER (PARTITION BY m.conv_id ORDER BY cut) = 1) c)""",
+)
 CACHE = finding(
     "cache_ordering", "'info'", "0", "'Prompt caching only matches a byte-identical prefix.'", "''",
     f"FROM tot WHERE {PROVIDER} IN ('anthropic', 'openai')",
@@ -537,7 +545,7 @@ ORACLES: dict[str, str] = {
     "watched_totals": docs(
         "SELECT conv_id, total AS total_tokens, total AS grown, n AS message_count, turns AS turn_count FROM tot", TOTALS
     ),
-    "watched_findings": docs(f"({LARGE}) UNION ALL ({BLOBS}) UNION ALL ({COPIES}) UNION ALL ({LONG})", TOTALS),
+    "watched_findings": docs(f"({LARGE}) UNION ALL ({BLOBS}) UNION ALL ({COPIES}) UNION ALL ({WATCHED_LONG})", TOTALS),
     "gated_session_checks": f"""WITH {TRANSCRIPT}, w2 AS (SELECT *, {model_of("conv_id")} AS mdl FROM w), {FILE_LINES},
         sz AS (SELECT session, sum(b)::BIGINT AS bytes FROM sizes GROUP BY session),
         tk AS (SELECT session, sum({tok("text")} + 4)::BIGINT AS tokens FROM w GROUP BY session),

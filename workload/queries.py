@@ -635,17 +635,18 @@ def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIGGERS = 4
 
 
-def as_stream(rows: DataFrame, label: str, order: str | None = None) -> DataFrame:
-    """A staged table read back as a stream of files; with ``order``, a file of later rows per trigger."""
+def as_stream(rows: DataFrame, label: str, order: str | None = None, cuts: list[int] | None = None) -> DataFrame:
+    """A staged table read back as a stream of files; with ``order``, a file of later rows per trigger,
+    cut at given values or else into parts of about the same size."""
     spark = rows.sparkSession
     path = new_shared_path(spark, label)
     if order is None:
         rows.write.parquet(path)
         return spark.readStream.schema(rows.schema).parquet(path)
     rows = stage(rows, label)
-    cuts = rows.stat.approxQuantile(order, [i / TRIGGERS for i in range(1, TRIGGERS)], 0.01)
+    cuts = cuts or rows.stat.approxQuantile(order, [i / TRIGGERS for i in range(1, TRIGGERS)], 0.01)
     number = sum(((F.col(order) > cut).cast("int") for cut in cuts), F.lit(0))
-    for trigger in range(TRIGGERS):
+    for trigger in range(len(cuts) + 1):
         rows.filter(number == trigger).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -686,7 +687,8 @@ def watched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def watched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = as_stream(documents(spark, sf_dir, "tokens", "content_key", "has_blob"), "messages")
+    """Findings of conversations that come in three parts: the first 20 messages, 40 more, and the rest."""
+    stream = as_stream(documents(spark, sf_dir, "tokens", "content_key", "has_blob"), "messages", "pos", [19, 59])
     names = ["conv_id", "finding", "severity", "est_savings", "message", "messages"]
     parts = [
         drain(part.select(*names), "watch-findings")
@@ -742,7 +744,8 @@ def running_request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def streamed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests optimized per micro-batch; totals over the written results."""
-    stream = as_stream(W.requests(spark, sf_dir), "requests")
+    numbered = W.requests(spark, sf_dir).withColumn("number", F.col("request_id").cast("bigint"))
+    stream = as_stream(numbered, "requests", "number", [numbered.count() // 2]).drop("number")
     path = new_shared_path(spark, "request-stream")
     run = optimize_request_stream(stream, f"{path}/results", f"{path}/checkpoint")
     run.awaitTermination()
