@@ -216,9 +216,13 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
 
 
 def ranked_findings(findings: DataFrame, count: int | None = None) -> DataFrame:
-    """All findings per conversation, or the first ``count``, ranked from 1."""
-    window = Window.partitionBy("conv_id").orderBy(*report_order())
-    ranked = findings.withColumn("rank", F.row_number().over(window))
+    """All findings per conversation, or the first ``count``, ranked from 1.
+
+    A finding that comes in parts has one rank: severity, savings, detector and first message are the
+    same for its parts and for no other finding.
+    """
+    window = Window.partitionBy("conv_id").orderBy(*report_order()[:4])
+    ranked = findings.withColumn("rank", F.dense_rank().over(window))
     return ranked if count is None else ranked.filter(F.col("rank") <= count)
 
 

@@ -9,7 +9,8 @@ import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
-from context_shaper.operators import alerts as A, impact as I
+from context_shaper.functions import models as M
+from context_shaper.operators import alerts as A, impact as I, lookup as K
 from context_shaper.operators.measure import measure
 from context_shaper.operators.totals import conversation_totals
 from context_shaper.plans import requests as Q
@@ -18,6 +19,7 @@ from context_shaper.session import new_shared_path
 from context_shaper.sources import folders, transcripts as C
 from context_shaper.sources.ledger_store import LedgerStore, Merged
 from context_shaper.sources.requests import prompt_measurements
+from context_shaper.streaming import impact as live
 from context_shaper.streaming.alerts import deep_check_stream, ledger_sink, owned_check_stream
 from context_shaper.streaming.requests import (
     RESULT_SCHEMA,
@@ -357,3 +359,48 @@ def test_copies_that_arrive_out_of_order(spark):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     assert sorted(tuple(r.messages) for r in drain(watch_repeats(stream), "repeats").collect()) == [(3, 1), (3, 5), (3, 9)]
+
+
+# --- continuous impact, pattern tables ---------------------------------------------------------------
+
+
+def test_continuous_impact_equals_batch_after_every_trigger(spark):
+    rng, path = random.Random(6), new_shared_path(spark, "impact")
+    schema = "ts bigint, ev string, sid string, tok bigint, warn boolean, src string, saved bigint, model string, seq bigint"
+    rows = [
+        (rng.randrange(40_000), rng.choice(["check", "check", None, "optimize"]), rng.choice(["a", "b", "c", "", None]),
+         rng.choice([None, rng.randrange(1000)]), rng.choice([True, False, None]), "cli", rng.choice([None, 50, 70]),
+         rng.choice(["gpt-4o", "claude-opus-4-1", "else", None]), i)
+        for i in range(400)
+    ]
+    for part in range(4):
+        spark.createDataFrame(rows[100 * part : 100 * part + 100], schema).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ledger")
+        with state_store(spark):
+            for run in live.impact_streams(stream, path, bucket_ms=1000):
+                run.awaitTermination()
+        if part == 2:
+            run_again(f"{path}/checkpoints/activity", part)
+    for part in range(4):
+        sofar = spark.createDataFrame(rows[: 100 * part + 100], schema)
+        for got, want in (
+            (live.activity_as_of(spark, path, part), I.session_activity(sofar)),
+            (live.savings_as_of(spark, path, part), I.savings_by_family(sofar)),
+            (live.hook_activity_as_of(spark, path, part), I.hook_activity(sofar)),
+        ):
+            rounded = [sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in f.collect()), key=repr) for f in (got, want)]
+            assert rounded[0] == rounded[1]
+
+
+def test_tables_of_patterns_equal_the_chain(spark):
+    rng = random.Random(1)
+    parts = ["claude", "opus", "sonnet", "-5", "haiku", "gpt-4", "o", "-mini", "GPT-5", "o3", "gemini", "-2.0-flash", "llama", "3", " ", "mythos", "mixtral"]
+    names = [("".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))),) for _ in range(400)] + [(None,), ("",)]
+    rows = spark.createDataFrame(names, "model string")
+    found = K.with_pattern_values(K.with_pattern_values(rows, "model", K.window_table(spark)), "model", K.price_table(spark))
+    price = M.pricing(F.col("model"))
+    want = rows.select("model", M.context_window(F.col("model")), *[price[x] for x in ("input_per_m", "output_per_m", "cache_read_per_m")])
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    ties = spark.createDataFrame([(2, "a", "late"), (1, "b$", "second"), (1, "a", "first")], "priority int, pattern string, kind string")
+    got = {r.model: r.kind for r in K.with_pattern_values(spark.createDataFrame([("AB",), ("xb",), ("c",)], "model string"), "model", ties).collect()}
+    assert got == {"AB": "first", "xb": "second", "c": None}

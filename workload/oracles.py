@@ -340,7 +340,7 @@ def matches(pattern: str) -> str:
     return f"regexp_matches(model, '(?i){pattern}')"
 
 
-MODEL_FUNCTIONS = f"""WITH n AS (SELECT c_custkey, {NAME} AS model, CAST(floor(abs(c_acctbal) * 100::DOUBLE) AS BIGINT) AS tokens FROM customer),
+MODEL_ROWS = f"""WITH n AS (SELECT c_custkey, {NAME} AS model, CAST(floor(abs(c_acctbal) * 100::DOUBLE) AS BIGINT) AS tokens FROM customer),
   k AS (SELECT *, CASE WHEN {matches("claude.*haiku")} THEN 200000
     WHEN {matches("claude.*(fable|mythos)|claude.*opus-?(5|4-[678])|claude.*sonnet-?(5|4-6)")} THEN 1000000
     WHEN {matches("claude.*sonnet|claude.*opus|claude-[0-9]")} THEN 200000 WHEN {matches("gpt-5")} THEN 400000
@@ -354,7 +354,8 @@ MODEL_FUNCTIONS = f"""WITH n AS (SELECT c_custkey, {NAME} AS model, CAST(floor(a
       WHEN {matches("gpt-5.*(mini|nano)")} THEN [0.25, 2, 0.025] WHEN {matches("gpt-5")} THEN [1.25, 10, 0.125]
       WHEN {matches("gpt-4o-mini")} THEN [0.15, 0.6, 0.075] WHEN {matches("gpt-4o|gpt-4[.]1")} THEN [2.5, 10, 1.25]
       WHEN {matches("gpt-4-turbo")} THEN [10, 30, 10] WHEN {matches("o[13](-|$)")} THEN [2, 8, 1]
-      WHEN {matches("gemini.*flash")} THEN [0.1, 0.4, 0.025] WHEN {matches("gemini.*pro")} THEN [1.25, 5, 0.31] END::DOUBLE[] AS prices FROM n)
+      WHEN {matches("gemini.*flash")} THEN [0.1, 0.4, 0.025] WHEN {matches("gemini.*pro")} THEN [1.25, 5, 0.31] END::DOUBLE[] AS prices FROM n)"""
+MODEL_FUNCTIONS = f"""{MODEL_ROWS}
   SELECT c_custkey, model, tokens, context_window, provider, family, prices[1] AS input_per_m, prices[2] AS output_per_m,
     prices[3] AS cache_read_per_m, round(tokens::DOUBLE / 1e6::DOUBLE * prices[1], 9) AS usd, round(tokens::DOUBLE / 25000::DOUBLE, 9) AS ttft,
     {tokens_label("tokens")} AS tokens_label FROM k"""
@@ -588,4 +589,14 @@ ORACLES: dict[str, str] = {
     "recent_small_sessions": f"""WITH {TRANSCRIPT}, w2 AS (SELECT *, {model_of("conv_id")} AS mdl FROM w), {FILE_LINES}
         SELECT * FROM (SELECT session, sum(b)::BIGINT AS size_bytes FROM sizes GROUP BY session ORDER BY session DESC LIMIT 6)
         WHERE size_bytes <= 3000 UNION ALL VALUES ('empty-1', 0), ('empty-2', 0)""",
+    "model_tables": f"""{MODEL_ROWS.replace(f"{NAME} AS model", f"CASE WHEN c_custkey % 5 = 0 THEN ({NAME}) || ':' || c_custkey ELSE {NAME} END AS model")}
+        SELECT c_custkey, model, context_window, CASE WHEN c_custkey % 5 = 0 THEN c_custkey / 10 ELSE prices[1] END AS input_per_m,
+        CASE WHEN c_custkey % 5 = 0 THEN c_custkey / 2 ELSE prices[2] END AS output_per_m,
+        CASE WHEN c_custkey % 5 = 0 THEN c_custkey / 100 ELSE prices[3] END AS cache_read_per_m FROM k""",
+    "running_impact": f"""WITH {LEDGER}, h AS (SELECT k, g.* FROM g JOIN (VALUES (0), (1), (2)) v(k) ON seq % 3 <= k),
+        l AS (SELECT *, lag(amount) OVER (PARTITION BY k, sid, is_run ORDER BY ts, seq) AS last FROM h)
+        SELECT k AS trigger, count(*) FILTER (NOT is_run) AS check_count, count(DISTINCT sid) FILTER (NOT is_run) AS session_count,
+        count(*) FILTER (NOT is_run AND warn) AS warn_count, (sum(greatest(last - amount, 0)) FILTER (NOT is_run AND sid IS NOT NULL))::BIGINT AS reduction,
+        count(*) FILTER (is_run) AS run_count, (sum(amount) FILTER (is_run))::BIGINT AS tokens_saved,
+        round(sum(amount::DOUBLE / 1e6::DOUBLE * {price()}) FILTER (is_run), 8) AS usd_saved FROM l GROUP BY k""",
 }

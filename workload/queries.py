@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from context_shaper import fixed_values as V
 from context_shaper.functions import display as D, models as M, text as T
-from context_shaper.operators import alerts as A, findings as N, impact as I, rewrite as R, totals as S
+from context_shaper.operators import alerts as A, findings as N, impact as I, lookup as K, rewrite as R, totals as S
 from context_shaper.operators.measure import FEATURES, measure
 from context_shaper.operators.normalize import conversations, normalize
+from context_shaper.operators.ordering import union_all
 from context_shaper.operators.writeback import rewrite_documents
 from context_shaper.plans import optimize as O, profile as P, requests as Q, sessions as E
 from context_shaper.session import new_shared_path, stage
@@ -22,6 +23,7 @@ from context_shaper.sources import folders, ledger as L, sinks, transcripts as C
 from context_shaper.sources.documents import open_documents
 from context_shaper.sources.ledger_store import LedgerStore
 from context_shaper.sources.requests import prompt_events, rejected, route
+from context_shaper.streaming import impact as live
 from context_shaper.streaming.alerts import deep_check_stream, ledger_sink, owned_check_stream
 from context_shaper.streaming.requests import (
     RESULT_SCHEMA,
@@ -117,9 +119,8 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def model_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lookups and costs over one model name per customer."""
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model name per customer."""
     name = F.concat(
         F.get(F.array(*[F.lit(p) for p in ("claude-", "gpt-", "o", "gemini-", "Llama-", "mixtral-", "other-")]),
               (F.col("c_custkey") % 7).cast("int")),
@@ -128,10 +129,15 @@ def model_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "4-turbo", "4.1", "5", "5-mini", "3.5-turbo", "1", "3-pro", "2.0-flash", "1.5-pro", "3-70b", "")]),
               (F.floor(F.col("c_custkey") / 7) % 21).cast("int")),
     )
-    model, tokens = F.col("model"), F.col("tokens")
-    rows = W.table(spark, sf_dir, "customer").select(
+    return W.table(spark, sf_dir, "customer").select(
         "c_custkey", name.alias("model"), F.floor(F.abs("c_acctbal") * 100).cast("bigint").alias("tokens")
     )
+
+
+@query
+def model_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups and costs over one model name per customer."""
+    model, tokens, rows = F.col("model"), F.col("tokens"), model_names(spark, sf_dir)
     usd = M.input_cost_usd(tokens, M.input_price(model))
     return rows.select(
         "c_custkey", "model", "tokens", M.context_window(model).alias("context_window"),
@@ -143,6 +149,23 @@ def model_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lookups from tables, with a pattern and price of its own for every fifth customer's model."""
+    tuned = F.concat("model", F.lit(":"), "c_custkey")
+    rows = model_names(spark, sf_dir).withColumn(
+        "model", F.when(F.col("c_custkey") % 5 == 0, tuned).otherwise(F.col("model"))
+    )
+    own = rows.filter("c_custkey % 5 = 0").select(
+        F.lit(-1).alias("priority"), F.concat(F.lit("^"), F.replace("model", F.lit("."), F.lit("[.]")), F.lit("$")).alias("pattern"),
+        *[(F.col("c_custkey") / part).alias(name) for part, name in ((10, "input_per_m"), (2, "output_per_m"), (100, "cache_read_per_m"))],
+    )
+    priced = K.with_pattern_values(rows, "model", K.price_table(spark).unionByName(own))
+    return K.with_pattern_values(priced, "model", K.window_table(spark)).select(
+        "c_custkey", "model", "context_window", "input_per_m", "output_per_m", "cache_read_per_m"
+    )
+
+
 # --- documents of every format -------------------------------------------------------------
 
 
@@ -725,6 +748,27 @@ def owned_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("owner", "session_id", "ts", "bytes", "tokens", F.col("warn").cast("int").alias("warn"))
 
 
+@query
+def running_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impact report after each of three triggers; two thirds of the lines come after later ones."""
+    ledger, path = W.ledger(spark, sf_dir), new_shared_path(spark, "impact")
+    reports = []
+    for number in range(3):
+        ledger.filter(F.col("seq") % 3 == number).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+        stream = spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ledger")
+        with state_store(spark):
+            for run in live.impact_streams(stream, path):
+                run.awaitTermination()
+        reduction = live.activity_as_of(spark, path, number).agg(F.sum("reduction").alias("reduction"))
+        saved = live.savings_as_of(spark, path, number).agg(
+            F.sum("run_count").alias("run_count"), F.sum("tokens_saved").alias("tokens_saved"),
+            F.round(F.sum("usd_saved"), 8).alias("usd_saved"),
+        )
+        hook = live.hook_activity_as_of(spark, path, number)
+        reports.append(hook.crossJoin(reduction).crossJoin(saved).withColumn("trigger", F.lit(number)))  # a row each
+    return union_all(reports)
+
+
 @query
 def running_request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals since the start after each of three triggers; both streams end and go on from their checkpoints."""
