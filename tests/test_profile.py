@@ -105,6 +105,10 @@ def test_repeated_calls_come_in_bounded_parts(spark):
     parts = N.repeated_tool_calls(measured, N.Thresholds(chunk_rows=8)).collect()
     assert Counter(i for r in parts for i in r.messages) == Counter(range(30)) and max(len(r.messages) for r in parts) <= 8
     assert sum(r.part == 0 for r in parts) == 3 and all("appears 10 times" in r.message for r in parts)
+    for limits in (N.Thresholds(), N.Thresholds(chunk_rows=8)):
+        ranked = N.ranked_findings(N.repeated_tool_calls(measured, limits)).collect()
+        assert sorted({(r.rank, min(r.messages)) for r in ranked if r.part == 0}) == [(1, 0), (2, 1), (3, 2)]
+        assert all({i % 3 for i in r.messages} == {r["rank"] - 1} for r in ranked)
 
 
 def test_thresholds_are_strict(spark):

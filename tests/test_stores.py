@@ -28,6 +28,7 @@ from context_shaper.streaming.requests import (
     running_totals,
     running_totals_stream,
 )
+from context_shaper.streaming.savings import late_entries, savings_by_window, window_totals, windowed_savings_stream
 from context_shaper.streaming.watch import watch_long_histories, watch_repeats
 from tests import fixtures as X
 from workload.queries import drain, state_store
@@ -404,3 +405,35 @@ def test_tables_of_patterns_equal_the_chain(spark):
     ties = spark.createDataFrame([(2, "a", "late"), (1, "b$", "second"), (1, "a", "first")], "priority int, pattern string, kind string")
     got = {r.model: r.kind for r in K.with_pattern_values(spark.createDataFrame([("AB",), ("xb",), ("c",)], "model string"), "model", ties).collect()}
     assert got == {"AB": "first", "xb": "second", "c": None}
+
+
+def test_windows_and_late_lines_equal_batch(spark):
+    rng, path, delay, width = random.Random(8), new_shared_path(spark, "windows"), 150, 100
+    schema = "ts bigint, ev string, model string, saved bigint"
+    parts = [
+        [(part * 400 + rng.randrange(-700, 400) % (part * 400 + 400), "optimize", rng.choice(["gpt-4o", "x", None]), rng.choice([None, 10, 20])) for _ in range(60)]
+        for part in range(4)
+    ]
+    parts[1].append((10**6, "check", None, None))  # other events do not move the watermark
+
+    def go_on():
+        stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+        windowed_savings_stream(stream, f"{path}/out", delay, width).awaitTermination()
+
+    greatest, ontime, late = None, [], []
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        go_on()
+        if number == 2:
+            run_again(f"{path}/out/checkpoint", number)
+            go_on()
+        mark = 0 if greatest is None else max(greatest - delay, 0)
+        runs = [row for row in part if row[1] == "optimize"]
+        for row in runs:
+            (late if row[0] // width * width + width <= mark else ontime).append(row)
+        greatest = max([greatest or 0, *(row[0] for row in runs)])
+        got = window_totals(spark, f"{path}/out", delay, number, width)
+        want = savings_by_window(spark.createDataFrame(ontime, schema), width)
+        assert sorted(map(repr, map(tuple, got.drop("final").collect()))) == sorted(map(repr, map(tuple, want.collect())))
+        assert {r.start for r in got.collect() if r.final} == {row[0] // width * width for row in ontime if row[0] // width * width + width <= max(greatest - delay, 0)}
+    assert late and sorted(map(repr, map(tuple, late_entries(spark, f"{path}/out", 3).select("ts", "ev", "model", "saved").collect()))) == sorted(map(repr, late))

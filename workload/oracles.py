@@ -599,4 +599,11 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (NOT is_run AND warn) AS warn_count, (sum(greatest(last - amount, 0)) FILTER (NOT is_run AND sid IS NOT NULL))::BIGINT AS reduction,
         count(*) FILTER (is_run) AS run_count, (sum(amount) FILTER (is_run))::BIGINT AS tokens_saved,
         round(sum(amount::DOUBLE / 1e6::DOUBLE * {price()}) FILTER (is_run), 8) AS usd_saved FROM l GROUP BY k""",
+    "windowed_savings": f"""WITH {LEDGER}, b AS (SELECT min(ts) AS low, max(ts) AS high FROM g),
+        a AS (SELECT g.*, ts // 86400000 * 86400000 AS start, CASE WHEN seq % 20 = 0 THEN 2 ELSE ((ts - low) * 3) // (high - low + 1) END AS k FROM g, b),
+        r AS (SELECT *, coalesce((SELECT max(ts) FILTER (x.is_run) FROM a x WHERE x.k < a.k), 3600000) - 3600000 AS mark FROM a WHERE is_run),
+        f AS (SELECT max(ts) - 3600000 AS mark FROM a WHERE is_run)
+        SELECT CASE WHEN start + 86400000 <= r.mark THEN 'late' WHEN start + 86400000 <= f.mark THEN 'final' ELSE 'open' END AS kind, start,
+        {FAMILY} AS family, count(*) AS run_count, sum(amount)::BIGINT AS tokens_saved,
+        round(coalesce(sum(amount::DOUBLE / 1e6::DOUBLE * {price()}), 0), 8) AS usd_saved FROM r, f GROUP BY ALL""",
 }

@@ -23,7 +23,7 @@ from context_shaper.sources import folders, ledger as L, sinks, transcripts as C
 from context_shaper.sources.documents import open_documents
 from context_shaper.sources.ledger_store import LedgerStore
 from context_shaper.sources.requests import prompt_events, rejected, route
-from context_shaper.streaming import impact as live
+from context_shaper.streaming import impact as live, savings as windows
 from context_shaper.streaming.alerts import deep_check_stream, ledger_sink, owned_check_stream
 from context_shaper.streaming.requests import (
     RESULT_SCHEMA,
@@ -769,6 +769,25 @@ def running_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(reports)
 
 
+@query
+def windowed_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Savings by day from a ledger in three parts, where every twentieth line comes with the last part."""
+    ledger, path, delay = W.ledger(spark, sf_dir), new_shared_path(spark, "windows"), 3_600_000
+    low, high = ledger.agg(F.min("ts"), F.max("ts")).first()
+    third = F.floor((F.col("ts") - low) * 3 / F.lit(high - low + 1))
+    arrival = F.when(F.col("seq") % 20 == 0, 2).otherwise(third)
+    for number in range(3):
+        ledger.filter(arrival == number).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+        stream = spark.readStream.schema(ledger.schema).parquet(f"{path}/ledger")
+        windows.windowed_savings_stream(stream, f"{path}/out", delay).awaitTermination()
+    totals = windows.window_totals(spark, f"{path}/out", delay, 2)
+    late = windows.savings_by_window(windows.late_entries(spark, f"{path}/out", 2))
+    rows = totals.withColumn("kind", F.when(F.col("final"), "final").otherwise("open")).drop("final").unionByName(
+        late.withColumn("kind", F.lit("late"))
+    )
+    return rows.withColumn("usd_saved", F.round("usd_saved", 8))
+
+
 @query
 def running_request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals since the start after each of three triggers; both streams end and go on from their checkpoints."""
