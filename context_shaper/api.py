@@ -9,9 +9,11 @@ from context_shaper.functions.models import (
     ttft_seconds,
 )
 from context_shaper.functions.text import content_hash, estimate_tokens, preview
-from context_shaper.operators.alerts import AlertOptions, alert_text, deep_checks
+from context_shaper.operators.alerts import AlertOptions, alert_text, deep_checks, migrate_owned_state, owned_checks
 from context_shaper.operators.findings import Thresholds, all_findings, ordered_findings
 from context_shaper.operators.impact import (
+    fleet_cube,
+    fleet_rollup,
     fleet_totals,
     grand_total,
     hook_activity,
@@ -19,6 +21,7 @@ from context_shaper.operators.impact import (
     session_activity,
     session_report,
 )
+from context_shaper.operators.lookup import pattern_values, price_table, window_table, with_pattern_values
 from context_shaper.operators.measure import measure
 from context_shaper.operators.normalize import conversations, from_turns, normalize, plain_messages
 from context_shaper.operators.rewrite import RewriteOptions
@@ -32,9 +35,11 @@ from context_shaper.plans.requests import (
     request_results,
     request_totals,
 )
+from context_shaper.plans.sessions import ProfileTable, check_sessions, profile_sessions, report_from_files
 from context_shaper.session import local_session, stage
 from context_shaper.sources.documents import read_documents, rejected_documents
 from context_shaper.sources.ledger import append_ledger, compact_ledger, read_ledger, retained
+from context_shaper.sources.ledger_store import LedgerStore
 from context_shaper.sources.requests import prompt_events, prompt_measurements, route
 from context_shaper.sources.sinks import as_json, write_json, write_table
 from context_shaper.sources.transcripts import (
@@ -44,8 +49,15 @@ from context_shaper.sources.transcripts import (
     transcript_entries,
     transcript_messages,
 )
-from context_shaper.streaming.alerts import deep_check_stream
-from context_shaper.streaming.requests import optimize_request_stream
+from context_shaper.streaming.alerts import deep_check_stream, ledger_sink, owned_check_stream
+from context_shaper.streaming.impact import activity_as_of, hook_activity_as_of, impact_streams, savings_as_of
+from context_shaper.streaming.requests import (
+    optimize_request_stream,
+    request_result_stream,
+    running_totals,
+    running_totals_stream,
+)
+from context_shaper.streaming.savings import late_entries, savings_by_window, window_totals, windowed_savings_stream
 from context_shaper.streaming.watch import (
     watch_long_histories,
     watch_repeats,
@@ -54,17 +66,22 @@ from context_shaper.streaming.watch import (
 )
 
 __all__ = [
-    "AlertOptions", "RewriteOptions", "Thresholds", "alert_text", "all_findings", "append_ledger",
-    "as_json", "build_profile", "category_shares", "compact_ledger", "content_hash",
-    "context_window", "conversation_totals", "conversations", "deep_check_stream", "deep_checks",
-    "estimate_tokens", "fleet_totals", "format_tokens", "format_usd", "forwarded_bodies",
-    "from_turns", "grand_total", "headline", "hook_activity", "input_cost_usd",
-    "largest_messages", "local_session", "measure", "normalize", "optimize",
-    "optimize_request_stream", "optimize_requests", "ordered_findings", "plain_messages",
-    "preview", "pricing", "profile", "prompt_events", "prompt_measurements", "provider",
-    "read_documents", "read_ledger", "recent_sessions", "rejected_documents", "replace_contents",
-    "request_results", "request_totals", "retained", "rewrite_documents", "route",
-    "savings_by_family", "session_activity", "session_inventory", "session_report", "sessions",
-    "stage", "transcript_entries", "transcript_messages", "ttft_seconds", "watch_long_histories",
-    "watch_repeats", "watch_row_findings", "watch_status", "write_json", "write_table",
+    "AlertOptions", "LedgerStore", "ProfileTable", "RewriteOptions", "Thresholds", "activity_as_of",
+    "alert_text", "all_findings", "append_ledger", "as_json", "build_profile", "category_shares",
+    "check_sessions", "compact_ledger", "content_hash", "context_window", "conversation_totals",
+    "conversations", "deep_check_stream", "deep_checks", "estimate_tokens", "fleet_cube",
+    "fleet_rollup", "fleet_totals", "format_tokens", "format_usd", "forwarded_bodies", "from_turns",
+    "grand_total", "headline", "hook_activity", "hook_activity_as_of", "impact_streams",
+    "input_cost_usd", "largest_messages", "late_entries", "ledger_sink", "local_session", "measure",
+    "migrate_owned_state", "normalize", "optimize", "optimize_request_stream", "optimize_requests",
+    "ordered_findings", "owned_check_stream", "owned_checks", "pattern_values", "plain_messages",
+    "preview", "price_table", "pricing", "profile", "profile_sessions", "prompt_events",
+    "prompt_measurements", "provider", "read_documents", "read_ledger", "recent_sessions",
+    "rejected_documents", "replace_contents", "report_from_files", "request_result_stream",
+    "request_results", "request_totals", "retained", "rewrite_documents", "route", "running_totals",
+    "running_totals_stream", "savings_as_of", "savings_by_family", "savings_by_window",
+    "session_activity", "session_inventory", "session_report", "sessions", "stage",
+    "transcript_entries", "transcript_messages", "ttft_seconds", "watch_long_histories",
+    "watch_repeats", "watch_row_findings", "watch_status", "window_table", "window_totals",
+    "windowed_savings_stream", "with_pattern_values", "write_json", "write_table",
 ]
