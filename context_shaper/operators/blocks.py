@@ -84,26 +84,39 @@ def _nested_elements(owner: Column, content: Column) -> Column:
     """Elements of a tool result's list with results inside it replaced by their own elements.
 
     The texts of nested results are put together like those of one long list, whatever the depth,
-    so each step opens one level and as many steps run as the text can hold levels.  A result with
-    an empty list stands for one empty string.
+    so each step opens one level.  As many steps are planned as the text can hold levels; once a step has
+    found nothing to open, the others do nothing.  A result with an empty list stands for one empty string.
     """
     empty = F.array(F.struct(F.lit("").alias("raw"), F.lit(True).alias("is_string")))
 
     def opened(element: Column) -> Column:
+        """The elements that stand for this one, and whether it was a result with a list."""
+        same = F.struct(F.array(element).alias("elements"), F.lit(False).alias("more"))
+
         def inner(block: Column) -> Column:
             inside = F.when(block["type"] == "tool_result", list_elements(element["raw"], block["content"]))
-            return bind(inside, lambda e: F.when(e.isNull(), F.array(element)).when(F.size(e) == 0, empty).otherwise(e))
+            return bind(inside, lambda e: F.when(e.isNull(), same).otherwise(
+                F.struct(F.when(F.size(e) == 0, empty).otherwise(e).alias("elements"), F.lit(True).alias("more"))
+            ))
 
         may_nest = ~F.coalesce(element["is_string"], F.lit(False)) & F.contains(element["raw"], F.lit(_RESULT_NAME))
-        return F.when(may_nest, bind(F.from_json(element["raw"], _BLOCK), inner)).otherwise(F.array(element))
+        return F.when(may_nest, bind(F.from_json(element["raw"], _BLOCK), inner)).otherwise(same)
 
-    def level(elements: Column, _: Column) -> Column:
-        return F.flatten(F.transform(elements, opened))
+    def level(state: Column, _: Column) -> Column:
+        step = bind(F.transform(state["elements"], opened), lambda found: F.struct(
+            F.flatten(F.transform(found, lambda x: x["elements"])).alias("elements"),
+            F.exists(found, lambda x: x["more"]).alias("more"),
+        ))
+        return F.when(state["more"], step).otherwise(state)
 
     names = F.length(content) - F.length(F.replace(content, F.lit(_RESULT_NAME), F.lit("")))
     levels = (names / len(_RESULT_NAME)).cast("int")
     nested = list_elements(owner, content)
-    return F.when(levels > 0, bind(nested, lambda e: F.aggregate(F.sequence(F.lit(1), levels), e, level))).otherwise(nested)
+    start = lambda e: F.struct(e.alias("elements"), F.lit(True).alias("more"))
+    return F.when(
+        levels > 0,
+        bind(nested, lambda e: F.aggregate(F.sequence(F.lit(1), levels), start(e), level, lambda state: state["elements"])),
+    ).otherwise(nested)
 
 
 def _read_element(element: Column, nested: bool = False) -> Column:
