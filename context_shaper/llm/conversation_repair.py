@@ -369,7 +369,7 @@ def audit_conversations(messages: DataFrame, options: Repair = Repair()) -> Data
     initials cannot follow each other, both before the repair; ``audit`` holds a letter per edit, in order;
     the hash is of the repaired ``role:text`` lines.  Rows and ties as in ``repaired_messages``.
     """
-    counted = _counted(_rows(messages))
+    counted = stage(_counted(_rows(messages)), "runs")
     kind = messages.schema["conv_id"].dataType.simpleString()
     facts = ", ".join(f"{name} bigint" for name in FACTS)
     digests = _meeting(messages, _edits(counted, options)).mapInArrow(
