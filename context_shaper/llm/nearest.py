@@ -5,6 +5,11 @@ query looks into its own bucket and into perturbed buckets, in the order of thei
 the expected squared distance to the bucket, from the ranks of the distances to the bucket's walls.
 The candidates of all tables are merged and ranked by exact cosine in double precision.
 
+Hashes, cell width, tables and probes come from the data: a sample of queries is compared with all
+vectors, the distances to their true neighbours set the width, and of the settings whose probes meet
+the wanted share of these neighbours the cheapest one is taken.  A comparison is paid for each vector
+in a probed bucket, so more vectors ask for more hashes.
+
 Equal vectors are one class of which the smallest ids are kept: more cannot be among the nearest.
 Buckets are spread over parts of bounded size (large ones over several), and queries stream past the
 vectors of a part, so no task holds more than one part's vectors.  Queries whose probed buckets hold
@@ -26,18 +31,38 @@ from context_shaper.session import stage
 
 @dataclass(frozen=True)
 class Multiprobe:
-    """``hashes`` projections of cell ``width`` in each of ``tables``; ``probes`` buckets per table.
-    ``width`` holds for 64 dimensions and is scaled to others as a projection's deviation is."""
+    """``success`` is the share of sampled true neighbours that the probes must meet.  It is measured
+    with ``sample_queries`` queries against all vectors, and the share of vectors in probed buckets
+    with ``sample_rows`` vectors, for each of the ``lengths`` commonest lengths of vectors."""
 
     neighbours: int = 5
-    tables: int = 8
-    hashes: int = 8
-    width: float = 0.25
-    probes: int = 160
+    success: float = 0.97
+    sample_queries: int = 128
+    sample_rows: int = 2048
+    lengths: int = 8
+    max_tables: int = 4
+    max_probes: int = 1024
     part_rows: int = 4096
     seed: int = 3
 
 
+@dataclass(frozen=True)
+class Setting:
+    """What is fitted to the vectors of one length, with the share of them that a query is compared
+    with and the share of true neighbours found, as measured on the samples."""
+
+    hashes: int
+    width: float
+    tables: int
+    probes: int
+    share: float
+    recall: float
+
+
+# Costs in comparisons of two vectors: a probe, and a vector that is sent to one more table.
+PROBE_COST, TABLE_COST = 50, 100
+
+
 def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of walls to cross, as ranks by distance, in the order of their expected cost."""
     k = hashes
@@ -58,11 +83,11 @@ def probe_order(hashes: int, probes: int) -> list[tuple[int, ...]]:
     return found
 
 
-def _projections(dimension: int, table: int, options: Multiprobe) -> tuple[np.ndarray, np.ndarray, float]:
-    random = np.random.default_rng((options.seed, table, dimension))
-    lines = random.standard_normal((dimension, options.hashes)) / np.sqrt(dimension)
-    width = options.width * float(np.sqrt(64 / dimension))
-    return lines, random.random(options.hashes) * width, width
+def _values(matrix: np.ndarray, table: int, setting: Setting, seed: int) -> np.ndarray:
+    """Projections of unit vectors in units of the cell width, shifted by a part of a cell."""
+    random = np.random.default_rng((seed, table, matrix.shape[1], setting.hashes))
+    lines = random.standard_normal((matrix.shape[1], setting.hashes)) / np.sqrt(matrix.shape[1])
+    return matrix @ lines / setting.width + random.random(setting.hashes)
 
 
 def _units(vectors: pa.Array) -> list[np.ndarray]:
@@ -79,44 +104,148 @@ def _keys(cells: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _hash(options: Multiprobe, probing: bool):
+def _buckets(matrix: np.ndarray, table: int, setting: Setting, seed: int, walls: list[tuple[int, ...]]) -> np.ndarray:
+    """For each unit vector, the buckets reached by crossing each of the sets of walls."""
+    value = _values(matrix, table, setting, seed)
+    cells = np.floor(value).astype(np.int64)
+    inside = value - cells
+    order = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
+    cells = np.repeat(cells[:, None, :], len(walls), axis=1)
+    rows = np.arange(len(matrix))
+    for number, crossed in enumerate(walls):
+        for wall in crossed:
+            side = order[:, wall]
+            cells[rows, number, side % setting.hashes] += np.where(side < setting.hashes, -1, 1)
+    keys = _keys(cells.reshape(-1, setting.hashes) ^ (table * 1_000_003 + matrix.shape[1]))
+    return keys.reshape(len(matrix), len(walls))
+
+
+def _first_probe(probed: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """For each bucket, the number of the probe that meets it; beyond the last one if none does."""
+    order = np.argsort(probed, kind="stable")
+    at = np.minimum(np.searchsorted(probed[order], buckets), len(probed) - 1)
+    return np.where(probed[order][at] == buckets, order[at], len(probed))
+
+
+def choose_setting(
+    queries: np.ndarray, neighbours: list[np.ndarray], sample: np.ndarray, rows: int, asked: int, options: Multiprobe
+) -> Setting | None:
+    """The cheapest setting for ``rows`` vectors and ``asked`` queries that meets the wanted share of
+    the sampled queries' true neighbours.  All vectors are unit vectors.  None: no setting does."""
+    pairs = np.concatenate([np.full(len(near), i) for i, near in enumerate(neighbours)]).astype(np.int64)
+    near = np.concatenate(neighbours)
+    distance = float(np.quantile(np.linalg.norm(queries[pairs] - near, axis=1), 0.8))
+    spread = max(distance, 1e-3) / np.sqrt(queries.shape[1])
+    bits, best, least = int(np.ceil(np.log2(rows + 1))), None, np.inf
+    for hashes in range(4, max(bits, 4) + 3, max(2, bits // 6)):
+        walls = probe_order(hashes, options.max_probes)
+        for multiple in (1.5, 2.5, 4.0):
+            draft = Setting(hashes, float(multiple * spread), 0, len(walls), 1.0, 0.0)
+            hit = np.full(len(near), len(walls))
+            met = np.full((len(queries), len(sample)), len(walls))
+            for table in range(options.max_tables):
+                probed = _buckets(queries, table, draft, options.seed, walls)
+                targets = _buckets(near, table, draft, options.seed, [()])[:, 0]
+                others = _buckets(sample, table, draft, options.seed, [()])[:, 0]
+                for i, own in enumerate(probed):
+                    mine = pairs == i
+                    hit[mine] = np.minimum(hit[mine], _first_probe(own, targets[mine]))
+                    met[i] = np.minimum(met[i], _first_probe(own, others))
+                wanted = int(np.ceil(options.success * len(near))) - 1
+                probes = int(np.partition(hit, wanted)[wanted]) + 1
+                if probes > len(walls):
+                    continue
+                share = float((met < probes).mean())
+                cost = share * rows + (table + 1) * (probes * PROBE_COST + TABLE_COST * rows / max(asked, 1))
+                if cost < least:
+                    least = cost
+                    best = Setting(hashes, draft.width, table + 1, probes, share, float((hit < probes).mean()))
+    return best
+
+
+def _hash(settings: dict[int, Setting], seed: int, probing: bool):
     """(place, table, bucket) of every vector, and of every bucket that it probes."""
-    walls = probe_order(options.hashes, options.probes)
+    walls = {length: probe_order(s.hashes, s.probes) if probing else [()] for length, s in settings.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = _units(batch.column(1))
-            tables, buckets = [[] for _ in units], [[] for _ in units]
-            for dimension in {len(unit) for unit in units}:
-                chosen = [i for i, unit in enumerate(units) if len(unit) == dimension]
-                matrix = np.stack([units[i] for i in chosen])
-                for table in range(options.tables):
-                    lines, shift, width = _projections(dimension, table, options)
-                    value = (matrix @ lines + shift) / width
-                    cells = np.floor(value).astype(np.int64)
-                    if probing:
-                        inside = value - cells
-                        order = np.argsort(np.concatenate([inside, 1 - inside], axis=1), axis=1, kind="stable")
-                        cells = np.repeat(cells[:, None, :], len(walls), axis=1)
-                        rows = np.arange(len(chosen))
-                        for number, crossed in enumerate(walls):
-                            for wall in crossed:
-                                side = order[:, wall]
-                                cells[rows, number, side % options.hashes] += np.where(side < options.hashes, -1, 1)
-                    else:
-                        cells = cells[:, None, :]
-                    keys = _keys(cells.reshape(-1, options.hashes) ^ (table * 1_000_003 + dimension)).reshape(len(chosen), -1)
-                    for at, i in enumerate(chosen):
-                        tables[i] += [table] * keys.shape[1]
-                        buckets[i] += keys[at].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(tables, pa.list_(pa.int32())), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["class_id", "vector", "tables", "buckets"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                units = _units(batch.column(1))
+                tables, buckets = [[] for _ in units], [[] for _ in units]
+                for length in {len(unit) for unit in units} & set(settings):
+                    chosen = [i for i, unit in enumerate(units) if len(unit) == length]
+                    matrix = np.stack([units[i] for i in chosen])
+                    for table in range(settings[length].tables):
+                        keys = _buckets(matrix, table, settings[length], seed, walls[length])
+                        for at, i in enumerate(chosen):
+                            tables[i] += [table] * keys.shape[1]
+                            buckets[i] += keys[at].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(tables, pa.list_(pa.int32())), pa.array(buckets, pa.list_(pa.int64()))],
+                    names=["class_id", "vector", "tables", "buckets"],
+                )
 
     return run
 
 
+def _compare_sample(queries, keep: int):
+    """The best ``keep`` vectors of a task for each of the broadcast (class_id, unit vector)s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, asked = queries.value
+        best = np.full((len(own), keep), -np.inf)
+        names = np.full((len(own), keep), -1, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                ids = np.asarray(batch.column(0).to_pylist(), np.int64)
+                score = asked @ np.stack(_units(batch.column(1))).T
+                score[own[:, None] == ids[None, :]] = -np.inf
+                score = np.concatenate([best, score], axis=1)
+                ids = np.concatenate([names, np.broadcast_to(ids, (len(own), len(ids)))], axis=1)
+                top = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                best, names = np.take_along_axis(score, top, 1), np.take_along_axis(ids, top, 1)
+        there = np.isfinite(best)
+        query = np.broadcast_to(own[:, None], names.shape)[there]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query, pa.int64()), pa.array(names[there], pa.int64()), pa.array(best[there], pa.float64())],
+            names=["query", "class_id", "score"],
+        )
+
+    return run
+
+
+def _fit(classes: DataFrame, asked: DataFrame, options: Multiprobe) -> dict[int, Setting]:
+    """A setting for each of the commonest lengths of the vectors in classes(class_id, vector)."""
+    spark, settings = classes.sparkSession, {}
+    asked = asked.select("class_id").distinct()
+    lengths = classes.join(asked, "class_id").groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("asked"))
+    for length, count in lengths.orderBy(F.desc("asked"), "length").limit(options.lengths).collect():
+        alike = classes.filter(F.size("vector") == length).select("class_id", "vector")
+        # Bounded samples, drawn by hash: at most sample_queries and sample_rows vectors.
+        drawn = F.xxhash64("class_id", F.lit(options.seed))
+        queries = alike.join(asked, "class_id").orderBy(drawn, "class_id").limit(options.sample_queries).toArrow()
+        sample = alike.orderBy(drawn, "class_id").limit(options.sample_rows).toArrow()
+        ids, matrix = np.asarray(queries["class_id"].to_pylist(), np.int64), np.stack(_units(queries["vector"]))
+        sent = spark.sparkContext.broadcast((ids, matrix))
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "class_id")
+        near = (
+            alike.mapInArrow(_compare_sample(sent, options.neighbours), "query bigint, class_id bigint, score double")
+            .withColumn("r", F.row_number().over(best)).filter(F.col("r") <= options.neighbours).select("query", "class_id")
+        )
+        near = near.join(alike, "class_id").select("query", "vector").toArrow()  # sample_queries * neighbours rows at most
+        if not near.num_rows:
+            continue
+        owner, vectors = np.asarray(near["query"].to_pylist(), np.int64), np.stack(_units(near["vector"]))
+        chosen = choose_setting(
+            matrix, [vectors[owner == i] for i in ids], np.stack(_units(sample["vector"])), alike.count(), count, options
+        )
+        if chosen:
+            settings[length] = chosen
+    return settings
+
+
 def _search(options: Multiprobe):
     """Rows come sorted by (part, block, is_query): a part's vectors, then the queries that probe it."""
     keep = options.neighbours + 1
@@ -190,16 +319,8 @@ def _compared_with_all(classes: DataFrame, short: DataFrame, parts: int, options
     return together.mapInArrow(_search(options), "query bigint, class_id bigint, score double")
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multiprobe = Multiprobe()) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries(vec_id), the nearest other rows of
-    vectors(vec_id, embedding, ...), nearest first and ties to the smaller vec_id.
-
-    Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do
-    rows without vec_id; vectors are compared with those of the same length.  Rows that repeat both
-    vec_id and vector count once.  Queries that name no such vector have no rows; one has fewer rows than
-    neighbours only where fewer vectors are left.  Other columns are
-    ignored; an empty table gives an empty result.
-    """
+def _classes(vectors: DataFrame, queries: DataFrame, options: Multiprobe) -> tuple[DataFrame, DataFrame]:
+    """(class_id, ids, vector) of the distinct vectors, and (vec_id, class_id) of the queries."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(
         F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & fine & F.exists("embedding", lambda x: x != 0)
@@ -215,12 +336,33 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multipro
         rows.join(queries.select(F.col("vec_id").cast("bigint").alias("vec_id")).distinct(), "vec_id")
         .join(classes.select("vector", "class_id"), "vector").select("vec_id", "class_id"), "asked",
     )
+    return classes, asked
+
+
+def fitted_settings(vectors: DataFrame, queries: DataFrame, options: Multiprobe = Multiprobe()) -> dict[int, Setting]:
+    """The settings, with their measured recall and candidate share, by length of vector."""
+    return _fit(*_classes(vectors, queries, options), options)
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multiprobe = Multiprobe()) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of queries(vec_id), the nearest other rows of
+    vectors(vec_id, embedding, ...), nearest first and ties to the smaller vec_id.
+
+    Vectors that are null, empty or zero, or hold null or non-finite components, take no part, nor do
+    rows without vec_id; vectors are compared with those of the same length, and those of rare
+    lengths (see Multiprobe) and very long ones like any others.  Rows that repeat both vec_id and vector count once.  Queries that name no such vector have no rows; one has fewer rows than
+    neighbours only where fewer vectors are left.  Other columns are
+    ignored; an empty table gives an empty result.
+    """
+    classes, asked = _classes(vectors, queries, options)
+    settings = _fit(classes, asked, options)
+    keep = options.neighbours + 1
     kind = classes.schema["vector"].dataType.simpleString()
     hashed = f"class_id bigint, vector {kind}, tables array<int>, buckets array<bigint>"
     pair = F.explode(F.arrays_zip("tables", "buckets")).alias("p")
     parts = classes.count() // options.part_rows + 1
     indexed = stage(
-        classes.select("class_id", "vector").mapInArrow(_hash(options, False), hashed).select("class_id", "vector", pair)
+        classes.select("class_id", "vector").mapInArrow(_hash(settings, options.seed, False), hashed).select("class_id", "vector", pair)
         .select("class_id", "vector", F.col("p.tables").alias("table"), F.col("p.buckets").alias("bucket")), "index",
     )
     # A bucket beyond a part's size is dealt over several blocks.
@@ -235,7 +377,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, options: Multipro
         F.array("bucket").alias("probed"),
     )
     wanted = classes.join(asked.select("class_id").distinct(), "class_id", "left_semi").select("class_id", "vector")
-    probing = wanted.mapInArrow(_hash(options, True), hashed).select("class_id", "vector", pair).select(
+    probing = wanted.mapInArrow(_hash(settings, options.seed, True), hashed).select("class_id", "vector", pair).select(
         "class_id", F.col("p.tables").alias("table"), F.col("p.buckets").alias("bucket")
     ).distinct()
     blocks = F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(1), F.col("blocks"))).otherwise(F.array(F.lit(0)))

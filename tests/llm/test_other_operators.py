@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from context_shaper.llm.mixing import Curriculum, _inverse_demand, mix_documents, mix_plan
-from context_shaper.llm.nearest import Multiprobe, nearest_neighbours, probe_order
+from context_shaper.llm.nearest import Multiprobe, choose_setting, fitted_settings, nearest_neighbours, probe_order
 from context_shaper.llm.quality import keep_good, kth_largest, resample
 from context_shaper.llm.url_filter import Mining, fixed_rules, host_and_path, judge_urls
 from context_shaper.llm.warc import Bundles, parse_record, read_archives, seek_table, write_archives
@@ -289,6 +289,33 @@ def test_recall_does_not_depend_on_the_dimension(spark):
     assert hit / 200 >= 0.9
 
 
+def test_larger_inputs_are_compared_with_a_smaller_share():
+    rng, chosen = np.random.default_rng(7), []
+    for n in (2_000, 16_000, 128_000):
+        centres = rng.standard_normal((n // 20, 32))
+        points = centres[rng.integers(0, n // 20, n)] + 0.25 * rng.standard_normal((n, 32))
+        units = points / np.linalg.norm(points, axis=1)[:, None]
+        near = [units[np.argsort(-(units @ units[i]))[1:6]] for i in range(100)]
+        sample = units[rng.choice(n, 2000, replace=False)]
+        chosen.append(choose_setting(units[:100], near, sample, n, n // 50, Multiprobe()))
+    assert all(setting.recall >= 0.97 for setting in chosen)
+    assert chosen[0].share > chosen[1].share > chosen[2].share and chosen[2].share < 0.05
+    assert chosen[0].hashes <= chosen[1].hashes < chosen[2].hashes
+
+
+def test_clashing_columns_and_lengths_without_a_setting(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(8 if i < 60 else 6)], i, "x", -1.0) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, class_id int, table string, score double")
+    asked, options = vectors.filter("vec_id % 30 = 0"), Multiprobe(lengths=1)
+    assert list(fitted_settings(vectors, asked, options)) == [8]
+    got = nearest_neighbours(vectors, asked, options).collect()
+    units = {r[0]: np.array(r[1]) / np.linalg.norm(r[1]) for r in rows}
+    score = {i: float(units[60] @ units[i]) for i in range(61, 90)}
+    assert [r.vec_id for r in sorted(got) if r.query_id == 60] == sorted(score, key=lambda i: -score[i])[:5]
+    assert got[0].asDict().keys() == {"query_id", "rank", "vec_id", "score"} and len(got) == 15
+
+
 def test_probes_come_in_order_of_cost():
     order = probe_order(4, 40)
     assert order[0] == () and order[1] == (0,) and len(set(order)) == 40
