@@ -2,7 +2,9 @@
 
 Method: incremental blob ledger.  A version's content address is the SHA-256 of its text.  The
 ledger remembers which (blob, rule, rule version) triples have been scanned and what was found; only
-triples it lacks are scanned, one text per blob, and findings are joined back to all paths.
+triples it lacks are scanned, one text per blob, and findings are joined back to all paths.  Addresses
+are counted first: a text that occurs once is scanned where it is read, and only unseen texts that
+occur several times are brought together.
 """
 
 from __future__ import annotations
@@ -65,15 +67,32 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: S
     blobs have all been scanned under these rule versions, adds nothing.
     """
     blobs = versions.select(content_address(F.col("text")).alias("blob"), F.col("text").cast("string").alias("text"))
-    wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
-    if ledger is not None:
-        pairs = blobs.select("blob").distinct().withColumn("r", F.explode(wanted)).select("blob", "r.*")
-        unseen = pairs.join(ledger.select("blob", "rule", "rule_version").distinct(), ["blob", "rule", "rule_version"], "left_anti")
-        todo = unseen.groupBy("blob").agg(F.collect_set("rule").alias("todo"))
-        blobs = blobs.join(todo, "blob")
+    counted = stage(blobs.groupBy("blob").agg(F.count("*").alias("copies")), "blobs")
+    every = F.array_sort(F.array(*[F.lit(rule.name) for rule in rules]))
+    if ledger is None:
+        work = counted.withColumn("todo", every)
     else:
-        blobs = blobs.withColumn("todo", F.array(*[F.lit(r.name) for r in rules]))
-    each = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+        wanted = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
+        known = ledger.select("blob", "rule", "rule_version").distinct()
+        work = (
+            counted.withColumn("r", F.explode(wanted)).select("blob", "copies", "r.*")
+            .join(known, ["blob", "rule", "rule_version"], "left_anti")
+            .groupBy("blob", "copies").agg(F.array_sort(F.collect_set("rule")).alias("todo"))
+        )
+    work = stage(work, "unseen")
+    # Texts meet the shorter of two lists: of the blobs with work, or of those that differ from a new one that occurs once.
+    others = counted.join(work.select("blob", "todo"), "blob", "left").filter(
+        (F.col("copies") > 1) | F.col("todo").isNull() | (F.col("todo") != every)
+    )
+    others = stage(others.select("blob", "copies", F.coalesce("todo", F.array().cast("array<string>")).alias("todo")), "others")
+    if work.count() <= others.count():
+        blobs = blobs.join(work, "blob")
+    else:
+        blobs = blobs.join(others, "blob", "left").withColumns(
+            {"copies": F.coalesce("copies", F.lit(1)), "todo": F.coalesce("todo", every)}
+        ).filter(F.size("todo") > 0)
+    several = blobs.filter("copies > 1").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    each = blobs.filter("copies = 1").select("blob", "text", "todo").unionByName(several)
     text = F.coalesce("text", F.lit(""))
     scans = F.array(*[
         F.when(F.array_contains("todo", rule.name), F.struct(

@@ -226,6 +226,25 @@ def test_secret_spans(spark):
     assert scan_versions(untidy(spark, *ROWS))[0].count() == len(ROWS)
 
 
+def test_increments_equal_one_scan(spark):
+    texts = [t for _, t in HIDDEN] + ["token = abcdef%d" % (i % 7) for i in range(40)] + ["api_key: qwertz%04d" % i for i in range(30)]
+    rows = [(i, t, "x", i, None) for i, t in enumerate(texts)]
+    versions = spark.createDataFrame(rows, "doc_id bigint, text string, blob string, assign int, todo string")
+    older = [Rule("assign", RULES[0].pattern, 2, 12, version=0), *RULES[1:]]
+    want, scanned = scan_versions(versions)
+    first, ledger = scan_versions(versions.filter("doc_id % 3 = 0"), rules=older)
+    got, added = scan_versions(versions, ledger)
+    kinds = [rule.name for rule in RULES]
+    assert sorted((r.doc_id, *[r[k] for k in kinds]) for r in got.collect()) == sorted((r.doc_id, *[r[k] for k in kinds]) for r in want.collect())
+    known = {r.blob for r in ledger.collect()}
+    assert {(r.blob, r.rule) for r in added.collect()} == {
+        (r.blob, r.rule) for r in scanned.collect() if r.blob not in known or r.rule == "assign"
+    }
+    assert added.count() == added.dropDuplicates(["blob", "rule"]).count()
+    assert got.columns == ["doc_id", "blob", "todo", *kinds]
+    assert scan_versions(versions, ledger.unionByName(added))[1].count() == 0
+
+
 def test_the_ledger_spares_what_was_scanned(spark):
     first = untidy(spark, (1, "token = abcdef1"), (2, "nothing"))
     _, ledger = scan_versions(first)
