@@ -1,8 +1,10 @@
 """Filtering URLs by host and path rules and, where none fits, by mined association rules.
 
-Method: FP-growth mines combinations of URL tokens among labelled URLs; combinations that imply a
-bad label with enough support and confidence become rules.  A rule is filed under its rarest token
-and applied to the URLs that hold this token and all its others.  Equal URLs are judged once.
+Method: FP-growth mines combinations of URL tokens among the bad ones of the labelled URLs.  Tokens that
+occur in the same labelled URLs are one item.  A combination is a rule if enough bad URLs hold it and
+the lower bound of its confidence, counted over all labelled URLs, is high enough; a rule goes when a
+part of it does as well.  A rule is filed under its rarest token and applied to the URLs that hold this
+token and all its others.  Equal URLs are judged once.
 """
 
 from __future__ import annotations
@@ -15,16 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from context_shaper.llm.native import ascii_lower
 from context_shaper.session import stage
 
-BAD = "label:bad"
-
 
 @dataclass(frozen=True)
 class Mining:
-    """``support``: share of the labelled URLs that a rule must cover; ``confidence``: share of
-    those that must be bad."""
+    """A rule covers at least ``least`` bad URLs and a ``support`` share of all labelled URLs, and of
+    those that it covers the lower ``deviations`` bound of the bad share is at least ``confidence``."""
 
-    support: float = 0.002
+    support: float = 0.0005
+    least: int = 8
     confidence: float = 0.7
+    deviations: float = 1.645
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,37 +38,77 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Host labels and suffixes, words of the path, and names of the query's parameters."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    words = F.filter(F.split(ascii_lower(path), r"[^a-z0-9_-]+"), lambda w: (w != "") & ~F.rlike(w, F.lit("^[0-9]+$")))
+    """The whole host, words of its labels and of the path, and names of the query's parameters."""
+    def words(text: Column) -> Column:
+        return F.filter(F.split(ascii_lower(text), r"[^a-z0-9_]+"), lambda w: (w != "") & ~F.rlike(w, F.lit("^[0-9]+$")))
+
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     names = F.filter(F.transform(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1)), lambda n: n != "")
 
-    def tagged(tag: str, values: Column) -> Column:
-        return F.transform(F.filter(values, lambda v: v != ""), lambda v: F.concat(F.lit(tag), v))
+    def tagged(tag: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.concat(F.lit(tag), t))
 
-    return F.array_distinct(F.concat(tagged("host:", labels), tagged("at:", suffixes), tagged("path:", words), tagged("ask:", names)))
+    return F.array_distinct(F.concat(
+        tagged("at:", F.array(host)), tagged("host:", words(host)), tagged("path:", words(path)), tagged("ask:", names)
+    ))
+
+
+def lower_bound(hits: Column, count: Column, deviations: float) -> Column:
+    """The lower end of the score interval of a share of ``hits`` in ``count``."""
+    z = float(deviations) ** 2
+    share = hits / count
+    return (share + z / (2 * count) - deviations * F.sqrt((share * (1 - share) + z / (4 * count)) / count)) / (1 + z / count)
+
+
+def _fitting(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows(tokens, ...) joined with the rules(key, all, ...) whose tokens they hold."""
+    holding = rows.withColumn("key", F.explode("tokens"))
+    return holding.join(rules, "key").filter(F.size(F.array_except("all", "tokens")) == 0)
 
 
 def mine_rules(labelled: DataFrame, options: Mining = Mining()) -> DataFrame:
-    """(tokens, confidence, support) of the rules that labelled(tokens, bad) gives, with their
-    rarest token as ``key``.  Rows without tokens or label are ignored; no bad row, no rule."""
-    items = labelled.filter("bad IS NOT NULL AND size(tokens) > 0").select(
-        F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")
+    """(key, all, bad, covered, bound) of the rules that labelled(tokens, bad) gives: the tokens of a
+    rule in order, its rarest token, and the labelled rows it covers.  Rows without tokens or label
+    are ignored; too few bad rows, no rule."""
+    rows = stage(
+        labelled.filter("bad IS NOT NULL AND size(tokens) > 0")
+        .select("bad", "tokens", F.monotonically_increasing_id().alias("row")), "mining-rows",
     )
-    model = FPGrowth(itemsCol="items", minSupport=options.support, minConfidence=options.confidence).fit(items)
-    rules = model.associationRules.filter(F.array_contains("consequent", BAD)).select(
-        F.col("antecedent").alias("tokens"), "confidence", "support"
+    total, bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    needed = max(options.least, 1, -int(-options.support * total // 1))
+    empty = rows.sparkSession.createDataFrame([], "key string, `all` array<string>, bad bigint, covered bigint, bound double")
+    if bad < needed:
+        return empty
+    # Tokens of the same rows are one item, named by the first of them.
+    mixed = F.xxhash64("row")
+    items = stage(
+        rows.withColumn("token", F.explode("tokens")).groupBy("token").agg(
+            F.count("*").alias("covered"), F.count_if("bad").alias("bad"),
+            F.bit_xor(mixed).alias("x"), F.sum(mixed.cast("decimal(38,0)")).alias("y"),
+        ).filter(F.col("bad") >= needed).groupBy("covered", "bad", "x", "y").agg(F.min("token").alias("token")), "items",
     )
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
-    rules = rules.select("*", F.array_sort("tokens").alias("name"), F.explode("tokens").alias("token"))
-    return rules.join(single, "token").groupBy("name").agg(
-        F.first("tokens").alias("tokens"), F.max("confidence").alias("confidence"), F.max("support").alias("support"),
-        F.min_by("token", F.struct("freq", "token")).alias("key"),
-    ).drop("name")
+    baskets = rows.filter("bad").select("row", F.explode("tokens").alias("token")).join(items.select("token"), "token")
+    baskets = stage(baskets.groupBy("row").agg(F.collect_list("token").alias("items")), "baskets")
+    held = baskets.count()
+    if held < needed:
+        return empty
+    # Half a row less, so that rounding never asks for a row more.
+    model = FPGrowth(itemsCol="items", minSupport=(needed - 0.5) / held, minConfidence=1.0).fit(baskets)
+    sets = stage(model.freqItemsets.select(F.array_sort("items").alias("all"), F.col("freq").alias("bad")), "itemsets")
+    rare = sets.select("all", "bad", F.explode("all").alias("token")).join(items.select("token", F.col("covered").alias("n")), "token")
+    keyed = stage(rare.groupBy("all", "bad").agg(F.min_by("token", F.struct("n", "token")).alias("key")), "keyed-itemsets")
+    covered = _fitting(rows.select("tokens"), keyed.select("key", "all")).groupBy("all").agg(F.count("*").alias("covered"))
+    rules = keyed.join(covered, "all").withColumn(
+        "bound", lower_bound(F.col("bad"), F.col("covered"), options.deviations)
+    ).filter(F.col("bound") >= options.confidence)
+    rules = stage(rules.select("key", "all", "bad", "covered", "bound"), "rules")
+    # A rule goes if fewer of its tokens bound the share as high.
+    parts = rules.select("key", "all", F.col("bound").alias("part_bound"))
+    whole = rules.select(F.col("all").alias("tokens"), "bound")
+    beaten = _fitting(whole, parts).filter("size(all) < size(tokens) AND part_bound >= bound").select(
+        F.col("tokens").alias("all")
+    ).distinct()
+    return rules.join(beaten, "all", "left_anti").select("key", "all", "bad", "covered", "bound")
 
 
 def fixed_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -100,9 +142,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame, options:
     )
     known = labelled.filter("bad IS NOT NULL AND url IS NOT NULL").groupBy("url").agg(F.max("bad").alias("bad"))
     sample = stage(parsed.join(known, "url").select("tokens", "bad"), "labelled")
-    mined = stage(mine_rules(sample, options).select("key", F.col("tokens").alias("all")), "mined")
-    holding = parsed.filter("tokens IS NOT NULL").select("url", "tokens", F.explode("tokens").alias("key"))
-    blocked = holding.join(mined, "key").filter(F.size(F.array_except("all", "tokens")) == 0).select(
+    mined = stage(mine_rules(sample, options).select("key", "all"), "mined")
+    blocked = _fitting(parsed.filter("tokens IS NOT NULL").select("url", "tokens"), mined).select(
         "url", F.lit("block").alias("mined")
     ).distinct()
     judged = parsed.join(decided, "url", "left").join(blocked, "url", "left").select(

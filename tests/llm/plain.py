@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections import defaultdict
 from itertools import combinations
@@ -138,3 +140,30 @@ def targets(sizes, weights=(1.0, 2.0, 3.0), cap=3):
         if not over:
             return {**fixed, **share}
         fixed |= {s: float(cap * sizes[s]) for s in over}
+
+
+def mined_rules(rows, least, confidence, deviations):
+    """{tokens: (bad, covered)} of the rules of rows (tokens, bad), from all subsets of each bad row."""
+    rows = [(frozenset(tokens), bad) for tokens, bad in rows if bad is not None and tokens]
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for token in tokens:
+            where.setdefault(token, []).append(i)
+    items = {min(t for t in where if where[t] == where[token]) for token in where}
+    subsets = set()
+    for tokens, bad in rows:
+        own = sorted(tokens & items)
+        if bad:
+            subsets |= {frozenset(c) for size in range(1, len(own) + 1) for c in itertools.combinations(own, size)}
+    rules = {}
+    for subset in subsets:
+        held = [bad for tokens, bad in rows if subset <= tokens]
+        n, hits, z = len(held), sum(held), deviations**2
+        share = hits / n
+        bound = (share + z / (2 * n) - deviations * math.sqrt((share * (1 - share) + z / (4 * n)) / n)) / (1 + z / n)
+        if hits >= least and bound >= confidence:
+            rules[subset] = (hits, n, bound)
+    return {
+        tuple(sorted(s)): (hits, n) for s, (hits, n, bound) in rules.items()
+        if not any(part < s and rules[part][2] >= bound - 1e-12 for part in rules)
+    }

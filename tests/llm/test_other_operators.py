@@ -10,7 +10,7 @@ import corpus_pipeline
 from context_shaper.llm.mixing import Curriculum, _inverse_demand, mix_documents, mix_plan
 from context_shaper.llm.nearest import Multiprobe, choose_setting, fitted_settings, nearest_neighbours, probe_order
 from context_shaper.llm.quality import keep_good, kth_largest, resample
-from context_shaper.llm.url_filter import Mining, fixed_rules, host_and_path, judge_urls
+from context_shaper.llm.url_filter import Mining, fixed_rules, host_and_path, judge_urls, mine_rules
 from context_shaper.llm.warc import Bundles, parse_record, read_archives, seek_table, write_archives
 from pyspark.sql import functions as F
 from tests.llm import plain
@@ -226,6 +226,56 @@ def test_mined_rules_block_what_the_labels_show(spark):
     assert {r.page_id for r in got.collect() if r.verdict == "block"} == set(range(0, 300, 5))
 
 
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(None, True), ([], True), (["a", "b"], None)]
+    for _ in range(400):
+        tokens = [t for t in "abcdefgh" if rng.random() < 0.35] + ["all"]
+        tokens += ["twin", "twin2"] if "c" in tokens else []
+        sure = {"a", "b"} <= set(tokens) or "h" in tokens and "d" in tokens
+        rows.append((tokens, rng.random() < (0.95 if sure else 0.1)))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    for least, confidence in ((8, 0.7), (3, 0.3)):
+        got = mine_rules(labelled, Mining(support=0.0, least=least, confidence=confidence)).collect()
+        want = plain.mined_rules(rows, least, confidence, 1.645)
+        assert {tuple(r["all"]): (r.bad, r.covered) for r in got} == want and len(got) == len(want)
+        assert all(r.key in r["all"] for r in got)
+    assert {("a", "b"), ("d", "h")} <= set(plain.mined_rules(rows, 8, 0.7, 1.645))
+
+
+def test_rules_hold_on_urls_not_mined(spark):
+    rng = random.Random(10)
+    pages, labels, truth = [], [], {}
+    for i in range(1200):
+        kind = rng.choice(["bets", "pills", "news", "blog", "docs", "shop"])
+        deep = ".".join(rng.choice("abc") for _ in range(8))
+        path = rng.choice(["win", "free", "about", "list"])
+        url = f"http://{deep}.{kind}-{rng.randrange(40)}.example.com/{path}/{i}?ref={i}"
+        truth[i] = (kind == "bets" or kind == "shop" and path == "free") ^ (rng.random() < 0.03)
+        pages.append((i, url))
+        if i % 2:
+            labels.append((url, truth[i]))
+    judged = judge_urls(
+        spark.createDataFrame(pages, "page_id bigint, url string"), fixed_rules(spark, []), spark.createDataFrame(labels, "url string, bad boolean")
+    ).filter("page_id % 2 = 0 AND verdict = 'block'")
+    blocked = {r.page_id for r in judged.collect()}
+    bad = {i for i, b in truth.items() if b and i % 2 == 0}
+    assert len(blocked & bad) >= 0.9 * len(blocked) and len(blocked & bad) >= 0.85 * len(bad)
+
+
+def test_labels_without_signal_give_no_rules(spark):
+    rng = random.Random(11)
+    rows = [([rng.choice("abcdef"), rng.choice("uvwxyz"), f"r{i}"], rng.random() < 0.25) for i in range(2000)]
+    assert mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).count() == 0
+
+
+def test_equally_long_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.bc/de/")], "page_id bigint, url string")
+    rules = fixed_rules(spark, [("block", "bc/de/"), ("allow", "bc/de/"), ("allow", "a.bc/d")])
+    none = spark.createDataFrame([], "url string, bad boolean")
+    assert [r.rule for r in judge_urls(pages, rules.filter("rule <> 'bc/de/' OR verdict = 'block'"), none).collect()] == ["a.bc/d"]
+
+
 def test_neighbours_recall_and_order(spark):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((10, 32))
