@@ -191,17 +191,36 @@ def _pairs_with_hubs(shared: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _met_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows(element, id, n, place, label) of one element as structs (a, b), a the larger one.
+
+    A row at a place can be similar only to partners up to a certain size.  So it stands as the
+    smaller one of pairs only if that size is not below its own, and as the larger one it looks only
+    into the bands of sizes that it allows, two at most.  Texts of a template, whose common element
+    comes too late in all of them, meet nobody.
+    """
+    def band(size: Column) -> Column:
+        return size if percent >= 100 else F.floor(F.log(size.cast("double")) / float(np.log(100 / percent)))
+
+    row = F.struct("id", "n", "place", "label")
+    most = F.expr(f"((n - place) * {100 + percent} - n * {percent}) div {percent}")
+    low, high = F.expr(f"(n * {percent} + 99) div 100"), F.least("n", most)
+    smaller = rows.filter(most >= F.col("n")).select("element", band(F.col("n")).alias("band"), row.alias("b"))
+    larger = rows.filter(high >= low).select("element", F.explode(F.sequence(band(low), band(high))).alias("band"), row.alias("a"))
+    return larger.join(smaller, ["element", "band"])
+
+
 def _pairs_across(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs that share an element and are not yet in one component."""
+    """All pairs that share an element, may agree by it and are not yet in one component."""
     rows = stage(shared.join(labels, "id"), "labelled")
     open_groups = rows.groupBy("element").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
         "low < high"
     ).select("element")
     rows = stage(rows.join(open_groups, "element", "left_semi"), "open-groups")
     return (
-        rows.alias("a").join(rows.alias("b"), "element")
-        .filter("a.id < b.id AND a.label <> b.label").filter(_may_agree("a", "b", percent))
-        .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+        _met_across(rows, percent).filter("a.label <> b.label AND (a.n > b.n OR a.n = b.n AND a.id < b.id)")
+        .filter(_may_agree("a", "b", percent))
+        .select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
     )
 
 

@@ -1,13 +1,15 @@
 """Operators on texts against their definitions, and on untidy tables."""
 
 import hashlib
+import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from context_shaper.llm.decontaminate import Winnowing, contamination, decontaminate
 from context_shaper.llm.line_dedup import LineDedup, line_dedup
-from context_shaper.llm.ngram_join import NgramJoin, ngram_join, one_of_each_group
+from context_shaper.llm.ngram_join import NgramJoin, _met_across, _pairs_across, ngram_join, one_of_each_group
 from context_shaper.llm.personal import KINDS, Bootstrap, find_personal
 from context_shaper.llm.secrets_scan import RULES, Rule, scan_versions
 from tests.llm import plain
@@ -69,6 +71,32 @@ def test_ngram_join_of_a_large_group_of_near_copies(spark):
     assert got == plain.near_components(texts, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_pairs_across_are_those_that_may_agree(spark, percent):
+    rng = random.Random(percent)
+    rows = [(rng.randrange(4), (i, i), rng.choice([rng.randrange(1, 30), rng.randrange(1, 400)])) for i in range(300)]
+    rows = [(e, i, n, rng.randrange(n - -(-n * percent // 100) + 1)) for e, i, n in rows]
+    kind = "element bigint, id struct<doc_id:bigint,h1:bigint>, n bigint, place int"
+    shared = spark.createDataFrame(rows, kind)
+    got = {(tuple(r.u), tuple(r.v)) for r in _pairs_across(shared, shared.select("id", F.col("id").alias("label")), percent).collect()}
+    want = set()
+    for (e, i, n, p), (f, j, m, q) in itertools.combinations(rows, 2):
+        needed = -(-(n + m) * percent // (100 + percent))
+        if e == f and 100 * n >= percent * m and 100 * m >= percent * n and min(n - p, m - q) >= needed:
+            want.add((min(i, j), max(i, j)))
+    assert got == want and (want or percent == 100)
+
+
+def test_texts_of_a_template_list_no_pairs(spark):
+    common = " ".join(f"c{i}" for i in range(20))
+    texts = {i: f"{common} own{i} more{i}" for i in range(400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert all(r.component_id == r.doc_id and r.n_shingles == 20 for r in ngram_join(docs).collect())
+    # Two own shingles come first, so the first common one is at the third place.
+    rows = spark.range(400).selectExpr("1L AS element", "struct(id AS doc_id, id AS h1) AS id", "20L AS n", "2 AS place")
+    assert _met_across(rows.withColumn("label", F.col("id")), 90).count() == 0
+
+
 def test_ngram_join_on_untidy_rows(spark):
     got = by_id(ngram_join(untidy(spark, *ROWS)), "n_shingles", "component_id")
     sizes = {i: len(plain.shingles(t, 3)) for i, t in ROWS}
