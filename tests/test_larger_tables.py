@@ -1,9 +1,16 @@
 """Steps whose cost must grow no faster than their input."""
 
 
+import glob
+import random
+
 from pyspark.sql import functions as F
 
-from context_shaper.operators import lookup as K
+from context_shaper.operators import impact as I, lookup as K
+from context_shaper.session import new_shared_path
+from context_shaper.sources import folders, transcripts as C
+from context_shaper.streaming import impact as live
+from workload import queries as Q
 
 
 def test_patterns_of_whole_names_are_not_tested_one_by_one(spark, monkeypatch):
@@ -24,3 +31,36 @@ def test_patterns_of_whole_names_are_not_tested_one_by_one(spark, monkeypatch):
     want = pairs.groupBy("name").agg(F.min_by("number", F.struct("priority", "pattern")).alias("number"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     assert {r.pattern for r in staged["loose-patterns"].collect()} == {"^m.1$", "m", "^m-3", "^\u00c4$", "^a|c$", r"^\u00c4$"} & {p for _, p in table if p}
+
+
+def most_tasks(spark, run):
+    spark.sparkContext.setJobGroup(f"{run}", "")
+    try:
+        result = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(f"{run}") for s in tracker.getJobInfo(job).stageIds]
+    return max(info.numTasks for s in stages if (info := tracker.getStageInfo(s))), result
+
+
+def test_paths_are_listed_in_few_tasks(spark, tmp_path):
+    line = '{"type":"user","message":{"role":"user","content":"hi"}}'
+    for number in range(50):
+        (tmp_path / f"p{number}").mkdir()
+        (tmp_path / f"p{number}" / "a b.jsonl").write_text(line if number else "")
+    tasks, files = most_tasks(spark, lambda: C.session_inventory(spark, str(tmp_path), limit=None))
+    assert tasks <= 32
+    assert sorted((r.project, r.size_bytes) for r in files.collect()) == sorted((f"p{n}", len(line) if n else 0) for n in range(50))
+    tasks, entries = most_tasks(spark, lambda: C.transcript_entries(spark, [str(p) for p in tmp_path.glob("*/*.jsonl")]))
+    assert tasks <= 32 and entries.count() == 49
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
+def test_small_sessions_are_written_by_many_tasks(spark, tmp_path):
+    lines = spark.range(60).select(
+        F.lit("p").alias("project"), F.col("id").cast("string").alias("session"), F.lit(0).alias("turn"), F.lit(0).alias("part"),
+        F.lit("{}").alias("value"))
+    Q.write_transcripts(lines, str(tmp_path / "files"))
+    names = glob.glob(f"{tmp_path}/files/project=p/session=*/part-*.txt")
+    assert len(names) == 60 and len({name.split("/part-")[1][:5] for name in names}) >= 8
