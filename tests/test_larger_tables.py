@@ -64,3 +64,21 @@ def test_small_sessions_are_written_by_many_tasks(spark, tmp_path):
     Q.write_transcripts(lines, str(tmp_path / "files"))
     names = glob.glob(f"{tmp_path}/files/project=p/session=*/part-*.txt")
     assert len(names) == 60 and len({name.split("/part-")[1][:5] for name in names}) >= 8
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark, monkeypatch):
+    path = new_shared_path(spark, "parts")
+    for number, count in enumerate((2, 1000, 0), 1):
+        Q.append_part(spark.range(count), path, 5)
+        assert sum(name.endswith(".parquet") for name in folders.files(spark, path)) == 5 * number
+    assert spark.read.parquet(path).count() == 1002
+    monkeypatch.setattr(Q, "STREAM_FILE_BYTES", 1000)
+    rows = spark.range(3000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    asked, append = [], Q.append_part
+    monkeypatch.setattr(Q, "append_part", lambda part, path, files: asked.append(files) or append(part, path, files))
+    stream, seen = Q.as_stream(rows, "rows", "id", [9, 1999]), []
+    stream.writeStream.foreachBatch(lambda batch, _: seen.append(
+        batch.agg(F.min("id"), F.max("id"), F.count("*")).first())).trigger(
+        availableNow=True).option("checkpointLocation", new_shared_path(spark, "checkpoint")).start().awaitTermination()
+    assert [tuple(row) for row in seen] == [(0, 9, 10), (10, 1999, 1990), (2000, 2999, 1000)]
+    assert len(asked) == 3 and min(asked) > 8
