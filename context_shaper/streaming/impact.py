@@ -1,9 +1,9 @@
 """The impact report kept up to date while the ledger grows, late lines included.
 
 Three streams over the same ledger lines: activity per session, counts of checks, savings per model.
-Activity needs the order of a session's checks, and lines may come late, so every check is kept: in buckets
-of time, four numbers a check, beside an index with a few sums per bucket.  A trigger opens the
-buckets it has lines of and the index, whatever a session's past.
+Activity needs the order of a session's checks, and lines may come late, so every check is kept, four numbers
+each: those of a session with few in one entry, else in buckets of time, beside an index with a few sums
+per bucket.  A trigger opens the one entry, or the buckets it has lines of and the index, whatever a session's past.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from context_shaper.operators.impact import checks, family_savings, measured_che
 from context_shaper.streaming.watch import plain_strings
 
 BUCKET_MS = 3_600_000
+SMALL_CHECKS = 1024
 _ACTIVITY = "sid string, check_count bigint, warn_count bigint, reduction bigint"
 
 
@@ -33,10 +34,12 @@ def _drops(tokens: np.ndarray) -> int:
 class ActivityProcessor(StatefulProcessor):
     """Checks, warnings and observed shrinkage of a session; one row per trigger that brought checks."""
 
-    def __init__(self, bucket_ms: int) -> None:
-        self._bucket_ms = bucket_ms
+    def __init__(self, bucket_ms: int, small: int = SMALL_CHECKS) -> None:
+        self._bucket_ms, self._limit = bucket_ms, small
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        # All checks of a session that has few of them.
+        self._small = handle.getValueState("small", "checks binary")
         # Per bucket: its number, first and last token count, drops inside, checks, warnings.
         self._index = handle.getValueState("index", "buckets binary")
         # Per check: time, place in the ledger, tokens, warning.
@@ -53,6 +56,16 @@ class ActivityProcessor(StatefulProcessor):
         frame = pd.concat(list(rows))
         warned = frame["warn"].fillna(False).astype("int64")
         added = np.stack([frame["ts"], frame["seq"], frame["tok"], warned], axis=1).astype(np.int64)
+        small = self._small.exists()
+        if small or not self._index.exists():
+            added = np.concatenate([_numbers(self._small.get()[0], 4), added]) if small else added
+            if len(added) <= self._limit:
+                every = added[np.lexsort((added[:, 1], added[:, 0]))]
+                self._small.update((every.tobytes(),))
+                yield self._activity(key, len(every), every[:, 3].sum(), _drops(every[:, 2]))
+                return
+            if small:
+                self._small.clear()
         numbers = added[:, 0] // self._bucket_ms
         index = _numbers(self._index.get()[0], 6) if self._index.exists() else np.zeros((0, 6), np.int64)
         touched = np.unique(numbers)
@@ -61,25 +74,30 @@ class ActivityProcessor(StatefulProcessor):
         index = index[np.argsort(index[:, 0])]
         self._index.update((index.tobytes(),))
         between = int(np.maximum(index[:-1, 2] - index[1:, 1], 0).sum())
+        yield self._activity(key, index[:, 4].sum(), index[:, 5].sum(), index[:, 3].sum() + between)
+
+    @staticmethod
+    def _activity(key, count, warned, reduction) -> pd.DataFrame:
         activity = pd.DataFrame({
-            "sid": [key[0]], "check_count": [int(index[:, 4].sum())], "warn_count": [int(index[:, 5].sum())],
-            "reduction": [int(index[:, 3].sum()) + between],
+            "sid": [key[0]], "check_count": [int(count)], "warn_count": [int(warned)], "reduction": [int(reduction)],
         })
-        yield plain_strings(activity, "sid")
+        return plain_strings(activity, "sid")
 
     def close(self) -> None:
         pass
 
 
-def activity_stream(ledger: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def activity_stream(ledger: DataFrame, bucket_ms: int = BUCKET_MS, small: int = SMALL_CHECKS) -> DataFrame:
     """Stream of ledger rows (with ``seq``) -> a session's activity so far, whenever it has new checks."""
     rows = measured_checks(ledger).select("sid", "ts", "seq", "tok", "warn")
     return rows.groupBy("sid").transformWithStateInPandas(
-        statefulProcessor=ActivityProcessor(bucket_ms), outputStructType=_ACTIVITY, outputMode="Append", timeMode="None"
+        statefulProcessor=ActivityProcessor(bucket_ms, small), outputStructType=_ACTIVITY, outputMode="Append", timeMode="None"
     )
 
 
-def impact_streams(ledger: DataFrame, path: str, bucket_ms: int = BUCKET_MS, **trigger) -> list[StreamingQuery]:
+def impact_streams(
+    ledger: DataFrame, path: str, bucket_ms: int = BUCKET_MS, small: int = SMALL_CHECKS, **trigger
+) -> list[StreamingQuery]:
     """Start the three streams; each writes what a trigger changed, or its totals, under ``batch_id=N``.
 
     A batch that is run again replaces its folder by the same rows.  All three see the same batches if the
@@ -97,7 +115,7 @@ def impact_streams(ledger: DataFrame, path: str, bucket_ms: int = BUCKET_MS, **t
 
     counts = checks(ledger).agg(F.count(F.lit(1)).alias("check_count"), F.count_if("warn").alias("warn_count"))
     return [
-        start(activity_stream(ledger, bucket_ms), "activity", "append"),
+        start(activity_stream(ledger, bucket_ms, small), "activity", "append"),
         start(counts, "checks", "complete"),
         start(model_savings(ledger), "models", "complete"),
     ]

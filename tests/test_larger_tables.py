@@ -82,3 +82,21 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark, monkeypatch):
         availableNow=True).option("checkpointLocation", new_shared_path(spark, "checkpoint")).start().awaitTermination()
     assert [tuple(row) for row in seen] == [(0, 9, 10), (10, 1999, 1990), (2000, 2999, 1000)]
     assert len(asked) == 3 and min(asked) > 8
+
+
+def test_activity_of_small_and_grown_sessions(spark):
+    rng, path = random.Random(3), new_shared_path(spark, "impact")
+    schema = "ts bigint, ev string, sid string, tok bigint, warn boolean, src string, saved bigint, model string, seq bigint"
+    rows = [
+        (rng.randrange(40_000), "check", rng.choice("aaaaaaaabbc"), rng.randrange(1000), rng.choice([True, False, None]), None, None, None, i)
+        for i in range(120)
+    ]
+    for part in range(3):
+        spark.createDataFrame(rows[40 * part : 40 * part + 40], schema).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/ledger")
+        with Q.state_store(spark):
+            for run in live.impact_streams(stream, path, bucket_ms=1000, small=25):
+                run.awaitTermination()
+    for part in range(3):
+        want = I.session_activity(spark.createDataFrame(rows[: 40 * part + 40], schema))
+        assert sorted(map(tuple, live.activity_as_of(spark, path, part).collect())) == sorted(map(tuple, want.collect()))
