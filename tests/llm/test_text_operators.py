@@ -3,15 +3,18 @@
 import hashlib
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from context_shaper.llm import secrets_scan
 from context_shaper.llm.decontaminate import Winnowing, contamination, decontaminate
 from context_shaper.llm.line_dedup import LineDedup, line_dedup
 from context_shaper.llm.ngram_join import NgramJoin, _met_across, _pairs_across, ngram_join, one_of_each_group
 from context_shaper.llm.personal import KINDS, Bootstrap, find_personal
 from context_shaper.llm.secrets_scan import RULES, Rule, scan_versions
+from context_shaper.session import stage
 from tests.llm import plain
 
 # Columns that share names with what the operators use inside.
@@ -273,6 +276,55 @@ def test_increments_equal_one_scan(spark):
     assert scan_versions(versions, ledger.unionByName(added))[1].count() == 0
 
 
+def shuffled_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {path: path.stat().st_size for folder in folders for path in Path(str(folder)).rglob("shuffle_*.data")}
+
+
+def test_increments_shuffle_no_texts_that_occur_once(spark):
+    rng = random.Random(11)
+    rows = [(i, f"token = abcd{i:04d}\u00e9 " + rng.randbytes(2000).hex()) for i in range(1500)]
+    rows += [(2000 + i, "a text of several copies, secret = abcdefgh") for i in range(40)]
+    versions = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, "doc_id")
+    versions = stage(versions, "versions")
+    before = [Rule("assign", RULES[0].pattern, 2, 12, version=0), *RULES[1:]]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        old = shuffled_files(spark)
+        _, ledger = scan_versions(versions.filter("doc_id % 2 = 0"), rules=before)
+        found, added = scan_versions(versions, ledger)
+        got = {r.doc_id: len(r.assign) for r in found.collect()}
+        written = sum(size for path, size in shuffled_files(spark).items() if path not in old)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {i: 1 for i, _ in rows}
+    assert added.groupBy("rule").count().collect() and added.count() == 1501 + 2 * 750
+    assert 0 < written < 0.3 * sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("block, places", [(1, 1), (4, 8), (1 << 15, 1 << 15)])
+def test_blobs_that_share_a_place_are_told_apart(spark, monkeypatch, block, places):
+    monkeypatch.setattr(secrets_scan, "_BLOCK", block)
+    monkeypatch.setattr(secrets_scan, "_PLACES", (places, places))
+    texts = [t for _, t in HIDDEN] + ["token = abcdef%02d" % (i % 23) for i in range(40)]
+    versions = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assign, access, hexes = RULES
+    # The ledger lacks no rule, each of the rules, two of them or all: more lists than two bits tell.
+    ledger = None
+    for part, rules in enumerate(([access], [access, hexes], [hexes], list(RULES), [assign])):
+        added = scan_versions(versions.filter(F.col("doc_id") % 6 == part), ledger, rules)[1]
+        ledger = added if ledger is None else ledger.unionByName(added)
+    found, added = scan_versions(versions, ledger)
+    kinds = [rule.name for rule in RULES]
+    assert sorted(((r.doc_id, *[[tuple(s) for s in r[k]] for k in kinds]) for r in found.collect())) == [
+        (i, *plain.matches(t, plain.SECRETS).values()) for i, t in enumerate(texts)
+    ]
+    known = {(r.blob, r.rule) for r in ledger.collect()}
+    every = {(hashlib.sha256((t or "").encode()).hexdigest(), k) for t in texts for k in kinds}
+    assert sorted((r.blob, r.rule) for r in added.collect()) == sorted(every - known)
+
+
 def test_the_ledger_spares_what_was_scanned(spark):
     first = untidy(spark, (1, "token = abcdef1"), (2, "nothing"))
     _, ledger = scan_versions(first)
