@@ -285,8 +285,7 @@ def test_increments_shuffle_no_texts_that_occur_once(spark):
     rng = random.Random(11)
     rows = [(i, f"token = abcd{i:04d}\u00e9 " + rng.randbytes(2000).hex()) for i in range(1500)]
     rows += [(2000 + i, "a text of several copies, secret = abcdefgh") for i in range(40)]
-    versions = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4, "doc_id")
-    versions = stage(versions, "versions")
+    versions = stage(spark.createDataFrame(rows, "doc_id bigint, text string"), "versions")
     before = [Rule("assign", RULES[0].pattern, 2, 12, version=0), *RULES[1:]]
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -299,7 +298,7 @@ def test_increments_shuffle_no_texts_that_occur_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == {i: 1 for i, _ in rows}
-    assert added.groupBy("rule").count().collect() and added.count() == 1501 + 2 * 750
+    assert added.count() == 1501 + 2 * 750
     assert 0 < written < 0.3 * sum(len(t) for _, t in rows)
 
 
