@@ -2,11 +2,14 @@
 
 
 import glob
+import json
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
 
-from context_shaper.operators import impact as I, lookup as K
+from context_shaper.operators import alerts as A, impact as I, lookup as K
+from context_shaper.plans import sessions as E
 from context_shaper.session import new_shared_path
 from context_shaper.sources import folders, transcripts as C
 from context_shaper.streaming import impact as live
@@ -100,3 +103,45 @@ def test_activity_of_small_and_grown_sessions(spark):
     for part in range(3):
         want = I.session_activity(spark.createDataFrame(rows[: 40 * part + 40], schema))
         assert sorted(map(tuple, live.activity_as_of(spark, path, part).collect())) == sorted(map(tuple, want.collect()))
+
+
+def read_at_once(monkeypatch):
+    """Numbers of files of the tables read from transcripts from now on, with lots of seven."""
+    monkeypatch.setattr(C, "FILES_A_LOT", 7, raising=False)
+    monkeypatch.setattr(C, "FEW_FOLDERS", 4, raising=False)
+    sizes = []
+    for name in ("load", "text"):
+        def read(self, *given, method=getattr(DataFrameReader, name), **more):
+            rows = method(self, *given, **more)
+            sizes.append(len(rows.inputFiles()))
+            return rows
+        monkeypatch.setattr(DataFrameReader, name, read)
+    return sizes
+
+
+def session_folders(root, per_project):
+    line = lambda n, k: json.dumps({"type": "user", "message": {"role": "user", "content": f"{n} {k} " + "word " * (n % 5 * 20)}})
+    for project, count in enumerate(per_project):
+        (root / f"p {project}").mkdir(parents=True)
+        for n in range(count):
+            (root / f"p {project}" / f"s{n},{project}.jsonl").write_text("\n".join(line(n, k) for k in range(n % 4)))
+    return str(root)
+
+
+def test_files_are_listed_and_checked_in_lots(spark, tmp_path, monkeypatch):
+    few, many = session_folders(tmp_path / "few", [20, 1, 0]), session_folders(tmp_path / "many", [3] * 9)
+    (tmp_path / "few" / "p 0" / "sub").mkdir()
+    (tmp_path / "few" / "p 0" / "sub" / "deeper.jsonl").write_text("{}")
+
+    def found(root):
+        files = C.session_inventory(spark, root, limit=None)
+        prompts = files.select(F.lit(1).alias("ts"), F.col("session_key").alias("session_id"), F.col("path").alias("transcript_path"))
+        checks = E.check_sessions(spark, root, prompts, options=A.AlertOptions(warn_tokens=60))
+        rows = checks.checks.select("session_id", "bytes", "tokens", "warn")
+        return sorted(map(tuple, files.collect())), sorted(map(tuple, rows.collect())), sorted(checks.paths)
+
+    want = [found(few), found(many)]
+    sizes = read_at_once(monkeypatch)
+    assert [found(few), found(many)] == want
+    assert [len(files) for files, _, _ in want] == [21, 27] and all(len(checks) > 3 for _, checks, _ in want)
+    assert max(sizes) <= 7 < sum(sizes)
