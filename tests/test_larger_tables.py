@@ -145,3 +145,19 @@ def test_files_are_listed_and_checked_in_lots(spark, tmp_path, monkeypatch):
     assert [found(few), found(many)] == want
     assert [len(files) for files, _, _ in want] == [21, 27] and all(len(checks) > 3 for _, checks, _ in want)
     assert max(sizes) <= 7 < sum(sizes)
+
+
+def test_profiles_are_read_in_lots(spark, tmp_path, monkeypatch):
+    root = session_folders(tmp_path / "files", [11, 9])
+
+    def report():
+        table = E.ProfileTable(spark, new_shared_path(spark, "profiles"))
+        activity = spark.createDataFrame([], "sid string, reduction bigint, warn_count bigint")
+        rows = sorted(map(str, E.report_from_files(table, root, activity).collect()))
+        assert table.refresh(root).read == []
+        return rows
+
+    want = report()
+    sizes = read_at_once(monkeypatch)
+    assert report() == want and len(want) == 14
+    assert max(sizes) <= 7 < sum(sizes)
