@@ -161,3 +161,18 @@ def test_profiles_are_read_in_lots(spark, tmp_path, monkeypatch):
     sizes = read_at_once(monkeypatch)
     assert report() == want and len(want) == 14
     assert max(sizes) <= 7 < sum(sizes)
+
+
+def test_sessions_are_written_in_lots(spark, tmp_path, monkeypatch):
+    lines = spark.range(120).select(
+        F.concat(F.lit("p"), F.col("id") % 3).alias("project"), F.floor(F.col("id") / 2).cast("string").alias("session"),
+        F.lit(0).alias("turn"), (1 - F.col("id") % 2).alias("part"), F.col("id").cast("string").alias("value"))
+    monkeypatch.setattr(Q, "FILES_A_LOT", 20, raising=False)
+    runs = set()
+    Q.write_transcripts(lines, str(tmp_path / "files"))
+    for project, session, at in [(r.project, r.session, f"{tmp_path}/files/project={r.project}/session={r.session}") for r in lines.select("project", "session").distinct().collect()]:
+        [name] = glob.glob(f"{at}/part-*.txt")
+        runs.add(name.split("/part-")[1][6:42])
+        ids = [int(value) for value in open(name).read().split()]
+        assert ids == sorted(ids, reverse=True) and {(f"p{i % 3}", str(i // 2)) for i in ids} == {(project, session)}
+    assert len(glob.glob(f"{tmp_path}/files/*/*/part-*.txt")) == 120 and len(runs) == 6
